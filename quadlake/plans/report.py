@@ -11,7 +11,6 @@ from quadlake.functions.terms import key_hash
 from quadlake.operators.counts import count_entities
 from quadlake.operators.joins import union_of
 from quadlake.operators.records import insert, link, text
-from quadlake.plans.coverage import coverage_total
 from quadlake.quads import of_type
 from quadlake.spec import CLASSES
 from quadlake.vocab import (
@@ -81,19 +80,25 @@ def _nodes(run: str, level: Sequence[str], prefix: str) -> tuple[Column, Column]
     return F.concat(F.lit(prefix), number), number
 
 
+def summary_iri(run: str, by: str = "g") -> Column:
+    """The IRI of the summary that a run writes for a graph (or a task)."""
+    return _nodes(run, [by], SUMMARY_PREFIX)[0]
+
+
 def coverage_summary(covered: DataFrame, run: str, endpoints: DataFrame | None = None,
-                     graph: str = PUBLIC_GRAPH) -> DataFrame:
+                     graph: str = PUBLIC_GRAPH, by: str = "g") -> DataFrame:
     """Quads of a coverage run: one summary per data graph, its classes and rules.
 
-    ``endpoints`` may give (g, url). Zeros are written too.
+    ``endpoints`` may give (g, url). Zeros are written too. With ``by="task"``
+    the rows of covered carry a task and each task has a summary of its own.
     """
-    summary, summary_id = _nodes(run, ["g"], SUMMARY_PREFIX)
-    cls, cls_id = _nodes(run, ["g", "class"], CLASS_SUMMARY_PREFIX)
-    rule, rule_id = _nodes(run, ["g", "class", "requirement", "property"], RULE_SUMMARY_PREFIX)
-    totals = coverage_total(covered)
-    heads = (totals.join(endpoints, "g", "left") if endpoints is not None
+    summary, summary_id = _nodes(run, [by], SUMMARY_PREFIX)
+    cls, cls_id = _nodes(run, [by, "class"], CLASS_SUMMARY_PREFIX)
+    rule, rule_id = _nodes(run, [by, "class", "requirement", "property"], RULE_SUMMARY_PREFIX)
+    totals = covered.groupBy(by).agg(F.sum("violation_count").alias("total_violations"))
+    heads = (totals.join(endpoints, by, "left") if endpoints is not None
              else totals.withColumn("url", F.lit(None).cast("string")))
-    classes = covered.groupBy("g", "class").agg(F.max("total_entities").alias("total_entities"))
+    classes = covered.groupBy(by, "class").agg(F.max("total_entities").alias("total_entities"))
     return union_of(
         insert(heads, graph, [
             link(summary, RDF_TYPE, SHV + "ValidationSummary"), text(summary, UUID, summary_id),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -32,9 +33,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder and go on from there."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a local one only for a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="quadlake-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the checkpoint folder and go on from there.
+
+    A later loss of executors costs no recomputation, each part of the plan
+    sees the same rows, and the planner knows the real size.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str) -> DataFrame:
