@@ -12,6 +12,7 @@ from quadlake.operators.counts import count_entities
 from quadlake.operators.joins import union_of
 from quadlake.operators.records import insert, link, text
 from quadlake.quads import of_type
+from quadlake.session import cut
 from quadlake.spec import CLASSES
 from quadlake.vocab import (
     CLASS_SUMMARY_PREFIX, ENDPOINT_URL, PUBLIC_GRAPH, RDF_TYPE, RULE_SUMMARY_PREFIX, SHV,
@@ -90,8 +91,10 @@ def coverage_summary(covered: DataFrame, run: str, endpoints: DataFrame | None =
     """Quads of a coverage run: one summary per data graph, its classes and rules.
 
     ``endpoints`` may give (g, url). Zeros are written too. With ``by="task"``
-    the rows of covered carry a task and each task has a summary of its own.
+    the rows of covered carry a task and each task has a summary of its own. The
+    rows, a rule set per graph, are written first, as all levels use them.
     """
+    covered = cut(covered)
     summary, summary_id = _nodes(run, [by], SUMMARY_PREFIX)
     cls, cls_id = _nodes(run, [by, "class"], CLASS_SUMMARY_PREFIX)
     rule, rule_id = _nodes(run, [by, "class", "requirement", "property"], RULE_SUMMARY_PREFIX)
@@ -129,6 +132,7 @@ def validation_summary(rolled: DataFrame, quads: DataFrame, run: str, graph: str
 
     A validated graph without results has a summary with a total of zero.
     """
+    rolled = cut(rolled)
     summary, summary_id = _nodes(run, ["g"], SUMMARY_PREFIX)
     cls, cls_id = _nodes(run, ["g", "class"], CLASS_SUMMARY_PREFIX)
     rule, rule_id = _nodes(run, ["g", "class", "path", "shape", "severity"], RULE_SUMMARY_PREFIX)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from quadlake.plans import coverage as cov
 from quadlake.plans import jobs as job
 from quadlake.plans import report, validation
 from quadlake.quads import OBJECT, QUAD, SUBJECT, literal
-from quadlake.session import tune
+from quadlake.session import checkpoint_folder, cut, tune
 from quadlake.sources import derived, nquads, sample_shapes, store
 from quadlake.spec import CLASSES, RULES, TYPOS
 from quadlake.streaming import change_feed, drain
@@ -35,15 +36,40 @@ PROPERTIES = sorted({r.property for r in RULES})
 NOW = "2024-02-01 00:00:00"
 
 
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
+    """The derived quads as a stored table, written once per application.
+
+    The operators are meant for stored quads: a filter on the graph prunes
+    folders, one on the predicate row groups, and each use is one scan.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORES:
+        path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+        store.create_store(build(spark, sf_dir), path)
+        _STORES[key] = path
+    return store.read_store(spark, _STORES[key])
+
+
+def quads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(tune(spark), sf_dir, "catalogue", derived.catalogue_quads)
+
+
+def jobs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(tune(spark), sf_dir, "jobs", derived.job_quads)
+
+
 def catalogue(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Register a query over the catalogue quads under its function name."""
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(derived.catalogue_quads(tune(spark), sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(quads_of(spark, sf_dir))
     return f
 
 
 def over_jobs(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """Register a query over the job quads."""
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(derived.job_quads(tune(spark), sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(jobs_of(spark, sf_dir))
     return f
 
 
@@ -151,7 +177,7 @@ def ingest_nquads(q):
 def ingest_rejects(spark, sf_dir):
     lines = spark.read.schema("text string").parquet(f"{sf_dir}/documents.parquet").select(
         F.explode(F.split("text", "\n")).alias("line"))
-    good = nquads.format_lines(derived.catalogue_quads(spark, sf_dir))
+    good = nquads.format_lines(quads_of(spark, sf_dir))
     return nquads.rejected_lines(joins.union_of(good, lines)).groupBy("line").agg(
         F.count(F.lit(1)).alias("times"))
 
@@ -246,7 +272,7 @@ def optional_pattern(j):
 
 @tables
 def focus_class(spark, sf_dir):
-    q = derived.catalogue_quads(spark, sf_dir)
+    q = quads_of(spark, sf_dir)
     results = validation.validate(q, [sample_shapes.LESS_THAN, sample_shapes.MIN_SIZE])
     return report.focus_classes(results, q).select("g", "result_id", "focus", "class")
 
@@ -354,7 +380,7 @@ def shacl_summary_quads(q):
 @tables
 def validation_record(spark, sf_dir):
     """One result record per task with a validation operation."""
-    q, j = derived.catalogue_quads(spark, sf_dir), derived.job_quads(spark, sf_dir)
+    q, j = quads_of(spark, sf_dir), jobs_of(spark, sf_dir)
     checked = validation.conforms(q, validation.validate(q, [sample_shapes.OWNER]))
     runs = (
         drain.due_tasks(j, [VALIDATION_OPERATION])
@@ -441,7 +467,7 @@ def delta_has_task(spark, sf_dir):
 def delta_coverage(spark, sf_dir):
     return drain.coverage_of_scheduled(
         change_feed.accepted(derived.messages(spark, sf_dir)),
-        derived.job_quads(spark, sf_dir), derived.catalogue_quads(spark, sf_dir))
+        jobs_of(spark, sf_dir), quads_of(spark, sf_dir))
 
 
 @tables
@@ -477,7 +503,7 @@ def _shown(results: DataFrame) -> DataFrame:
 
 def _family(name: str) -> None:
     QUERIES[f"shacl_{name}"] = lambda spark, sf_dir: _shown(validation.validate(
-        derived.catalogue_quads(tune(spark), sf_dir), sample_shapes.FAMILIES[name]))
+        quads_of(spark, sf_dir), sample_shapes.FAMILIES[name]))
 
 
 for _name in ("count", "class", "datatype", "nodekind", "range", "string", "lang", "pair", "less_than",
@@ -524,7 +550,7 @@ def shacl_distinct(q):
 
 @catalogue
 def shacl_text(q):
-    results = _base(q)
+    results = cut(_base(q))
     return report.report_text(results, validation.conforms(q, results))
 
 
