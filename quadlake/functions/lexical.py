@@ -77,7 +77,7 @@ def is_valid(text: Column, dt: Column) -> Column:
 
 def compare_class(text: Column, kind: Column, dt: Column) -> Column:
     """Terms of one class have an order among them; NULL has none."""
-    number = dt.isin(*_NUMBERS) & F.coalesce(~F.isnan(_double(text)), F.lit(False))
+    number = dt.isin(*_NUMBERS) & _double(text).isNotNull() & ~F.isnan(_double(text))
     return F.when(kind == LITERAL, (
         F.when(number, "number")
         .when((dt == XSD + "dateTime") & _moment(text).isNotNull(), "dateTime")

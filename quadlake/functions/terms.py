@@ -11,12 +11,8 @@ from quadlake.vocab import BNODE, IRI, LANG_STRING, UNDEF_PREFIX, XSD_STRING
 _UNIT = chr(31)
 _NULL = chr(30)
 
-# Characters that an IRI reference may not hold as such.
-_IRI_ESCAPES = {
-    "\\": "\\u005C", "<": "\\u003C", ">": "\\u003E", '"': "\\u0022", "{": "\\u007B",
-    "}": "\\u007D", "|": "\\u007C", "^": "\\u005E", "`": "\\u0060", " ": "\\u0020",
-    "\t": "\\u0009", "\n": "\\u000A", "\r": "\\u000D",
-}
+# Characters that an IRI reference may not hold as such, with all up to the space.
+_IRI_ESCAPES = {c: f"\\u{ord(c):04X}" for c in '\\<>"{}|^`' + "".join(map(chr, range(0x21)))}
 # Characters that a quoted literal escapes.
 _LITERAL_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 # Short escapes of the line formats.
