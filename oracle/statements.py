@@ -472,6 +472,7 @@ q("shacl_result_quads", BASE + union(
             ("result_id", SH + "sourceConstraintComponent", "component", ""), ("result_id", SH + "resultMessage", "label", STR),
             ("result_id", SH + "focusNode", "f", "")),
     f"SELECT {RG}, result_id, 'iri', '{SH}value', v, v_kind, v_dt, v_lang FROM r WHERE v IS NOT NULL"))
+q("shacl_results_read", BASE + f"""SELECT {RG} AS g, result_id, f AS focus, 'iri' AS focus_kind, path, shape, severity FROM r""")
 ROLLED = f"""SELECT r.g, t.o AS class, r.path, r.shape, r.severity, count(DISTINCT result_id) AS count
 FROM r JOIN quads t ON t.g = r.g AND t.s = r.f AND t.p = '{TYPE}' AND t.o IN ({FOUR}) GROUP BY ALL"""
 q("shacl_rollup", BASE + ROLLED)

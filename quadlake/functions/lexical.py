@@ -77,24 +77,18 @@ def is_valid(text: Column, dt: Column) -> Column:
 
 def compare_class(text: Column, kind: Column, dt: Column) -> Column:
     """Terms of one class have an order among them; NULL has none."""
-    number = dt.isin(*_NUMBERS) & _double(text).isNotNull() & ~F.isnan(_double(text))
+    # Casts are laxer than the datatypes: they take suffixes, NaN and bare years.
+    plain = text.isin("INF", "+INF", "-INF") | ~text.rlike("[^0-9eE+.-]")
+    number = dt.isin(*_NUMBERS) & plain & text.try_cast("double").isNotNull()
+    moment = text.try_cast("timestamp").isNotNull() & (F.length(text) >= 10)
     return F.when(kind == LITERAL, (
         F.when(number, "number")
-        .when((dt == XSD + "dateTime") & _moment(text).isNotNull(), "dateTime")
-        .when((dt == XSD + "date") & _moment(text).isNotNull(), "date")
+        .when((dt == XSD + "dateTime") & F.contains(text, F.lit("T")) & moment, "dateTime")
+        .when((dt == XSD + "date") & ~F.contains(text, F.lit("T")) & moment, "date")
         .when(dt == XSD_STRING, "string")
         .when((dt == XSD + "boolean") & text.isin("true", "false", "0", "1"), "boolean")))
 
 
-def _double(text: Column) -> Column:
-    # XML Schema writes INF where Spark reads Infinity.
-    return F.regexp_replace(text, "INF$", "Infinity").try_cast("double")
-
-
-def _moment(text: Column) -> Column:
-    return text.try_cast("timestamp")
-
-
 def compare_key(text: Column, dt: Column) -> Column:
     """A struct whose order is the order of the terms within one compare class.
 
@@ -102,10 +96,10 @@ def compare_key(text: Column, dt: Column) -> Column:
     out of range, so both long integers and small doubles keep their order.
     """
     number = dt.isin(*_NUMBERS)
-    dec, dbl = text.try_cast(_DECIMAL), _double(text)
+    dec, dbl = text.try_cast(_DECIMAL), text.try_cast("double")
     rank = F.when(number & dec.isNull(), F.when(dbl < 0, -1).otherwise(1)).otherwise(
         F.when(dt == XSD + "boolean", F.when(text.isin("true", "1"), 1).otherwise(0)).otherwise(0))
-    moment = F.when(dt.isin(XSD + "dateTime", XSD + "date"), _moment(text))
+    moment = F.when(dt.isin(XSD + "dateTime", XSD + "date"), text.try_cast("timestamp"))
     return F.struct(
         rank.alias("rank"), F.when(number, dec).alias("dec"), F.when(number, dbl).alias("dbl"),
         moment.alias("moment"), F.when(dt == XSD_STRING, text).alias("text"))

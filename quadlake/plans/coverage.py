@@ -33,7 +33,7 @@ def as_rules(spec: Iterable[Rule] | DataFrame | None) -> list[Rule]:
     return [Rule(*r) for r in spec]
 
 
-def _bits(keys: list[str], first: int = 0) -> dict[str, tuple[int, int]]:
+def bit_places(keys: list[str], first: int = 0) -> dict[str, tuple[int, int]]:
     """Key to (word, bit)."""
     return {k: divmod(i + first, _WORD) for i, k in enumerate(keys)}
 
@@ -48,7 +48,7 @@ def subject_bits(quads: DataFrame, classes: list[str], properties: list[str]) ->
 
     Class i has bit i, property j bit len(classes) + j, 60 bits to a word.
     """
-    at_class, at_property = _bits(classes), _bits(properties, len(classes))
+    at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
     slots = [(RDF_TYPE, c, w, 1 << b) for c, (w, b) in at_class.items()]
     slots += [(p, "", w, 1 << b) for p, (w, b) in at_property.items()]
     table = local_frame(quads.sparkSession, slots, "p string, class string, word int, mark bigint")
@@ -77,7 +77,7 @@ def coverage(quads: DataFrame, spec: Iterable[Rule] | DataFrame | None = None) -
     classes = list(dict.fromkeys(r.cls for r in rules))
     # Every entity of a class has a type, so that property needs no bit.
     properties = list(dict.fromkeys(r.property for r in rules if r.property != RDF_TYPE))
-    at_class, at_property = _bits(classes), _bits(properties, len(classes))
+    at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
     bits = subject_bits(quads, classes, properties)
     words = [c for c in bits.columns if c.startswith("w")]
     profiles = bits.groupBy("g", *words).agg(F.count(F.lit(1)).alias("n"))

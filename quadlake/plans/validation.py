@@ -26,6 +26,7 @@ from quadlake.operators.closure import closure, edges_of
 from quadlake.operators.joins import optional, star, values_of
 from quadlake.operators.records import insert, link, text
 from quadlake.operators.scan import match
+from quadlake.plans.coverage import bit_places, subject_bits
 from quadlake.plans.shapes import NESTED, VALUE_TESTS, Shape, from_frame
 from quadlake.quads import OBJECT, SUBJECT, of_type
 from quadlake.session import cut, local_frame
@@ -138,16 +139,17 @@ def members(quads: DataFrame, classes: list[str]) -> DataFrame:
     return direct.unionByName(through).distinct()
 
 
-def _targets(quads: DataFrame, rules: _Rules, level: int) -> DataFrame | None:
+def _targets(quads: DataFrame, rules: _Rules, numbers: Iterable[int]) -> DataFrame | None:
+    """Focus nodes of the numbered shapes by their own targets."""
     spark = quads.sparkSession
     wanted: dict[str, list[tuple[int, str]]] = {}
     per_shape = [0] * len(rules.shapes)
-    for i, s in enumerate(rules.shapes):
-        if rules.level[i] == level and not s.deactivated:
-            for kind, target in s.targets:
-                key = "class" if kind == "implicit" else kind
-                wanted.setdefault(key, []).append((i, s.id if kind == "implicit" else target))
-                per_shape[i] += 1
+    for i in sorted(numbers):
+        s = rules.shapes[i]
+        for kind, target in s.targets if not s.deactivated else ():
+            key = "class" if kind == "implicit" else kind
+            wanted.setdefault(key, []).append((i, s.id if kind == "implicit" else target))
+            per_shape[i] += 1
 
     def table(kind: str, name: str) -> DataFrame:
         return F.broadcast(local_frame(spark, wanted[kind], f"shape int, {name} string"))
@@ -176,8 +178,7 @@ def _targets(quads: DataFrame, rules: _Rules, level: int) -> DataFrame | None:
 def targets(quads: DataFrame, shapes: Iterable[Shape] | DataFrame) -> DataFrame:
     """(g, shape, focus, focus_kind): the focus nodes of each targeted shape."""
     rules = _Rules(_as_shapes(shapes))
-    frames = [_targets(quads, rules, level) for level in range(max(rules.level, default=0) + 1)]
-    focus = _union([f for f in frames if f is not None])
+    focus = _targets(quads, rules, range(len(rules.shapes)))
     return _named(focus, rules).select("g", F.col("shape_id").alias("shape"), F.col("f").alias("focus"),
                                        F.col("f_kind").alias("focus_kind"))
 
@@ -202,10 +203,10 @@ def _step(found: DataFrame, quads: DataFrame, step) -> DataFrame:
     return following.select(*_FOCUS, *_V)
 
 
-def _values(focus: DataFrame, quads: DataFrame, rules: _Rules, level: int) -> DataFrame:
-    """The value nodes of each focus node, each once."""
+def _values(focus: DataFrame, quads: DataFrame, rules: _Rules, numbers: Iterable[int]) -> DataFrame:
+    """The value nodes of each focus node of the numbered shapes, each once."""
     spark = quads.sparkSession
-    here = [(i, s) for i, s in enumerate(rules.shapes) if rules.level[i] == level and not s.deactivated]
+    here = [(i, rules.shapes[i]) for i in sorted(numbers)]
     own = [i for i, s in here if not s.path]
     simple = [(i, s.predicate) for i, s in here if s.predicate]
     by_path: dict[tuple, list[int]] = {}
@@ -233,8 +234,8 @@ def _values(focus: DataFrame, quads: DataFrame, rules: _Rules, level: int) -> Da
 def path_values(quads: DataFrame, shapes: Iterable[Shape] | DataFrame) -> DataFrame:
     """(g, shape, focus, focus_kind, value, value_kind, value_dt, value_lang) of targeted shapes."""
     rules = _Rules(_as_shapes(shapes))
-    focus = _targets(quads, rules, 0)
-    found = _named(_values(focus, quads, rules, 0), rules)
+    numbers = [i for i, s in enumerate(rules.shapes) if s.targets and not s.deactivated]
+    found = _named(_values(_targets(quads, rules, numbers), quads, rules, numbers), rules)
     return found.select(
         "g", F.col("shape_id").alias("shape"), F.col("f").alias("focus"), F.col("f_kind").alias("focus_kind"),
         *[F.col(v).alias(v.replace("v", "value", 1)) for v in _V])
@@ -264,13 +265,17 @@ def _value_tests(values: DataFrame, found: list) -> DataFrame:
             words = [w.lower() for w in words]
         number = int(p["value"]) if c in ("minLength", "maxLength") else None
         rows.append((r, s, c, p.get("value"), p.get("dt", XSD_STRING), number, words))
-    table = _rule_table(values.sparkSession, rows,
+    table = local_frame(values.sparkSession, rows,
                         "rule int, shape int, component string, arg string, arg_dt string, "
                         "arg_int int, args array<string>")
-    joined = values.join(table, "shape")
     value, kind, dt, lang = (F.col(v) for v in _V)
     components = {c for _, _, c, _ in found}
-    ok = F.lit(False)
+    ranged = components & {"minInclusive", "maxInclusive", "minExclusive", "maxExclusive"}
+    if ranged:
+        arg, arg_dt = F.col("arg"), F.col("arg_dt")
+        table = table.withColumn("bound_class", compare_class(arg, F.lit(LITERAL), arg_dt)).withColumn(
+            "bound", compare_key(arg, arg_dt))
+    joined = values.join(F.broadcast(table), "shape")
     tests: dict[str, Column] = {
         "datatype": (kind == LITERAL) & (dt == F.col("arg")) & is_valid(value, dt),
         "nodeKind": F.array_contains("args", kind),
@@ -280,10 +285,9 @@ def _value_tests(values: DataFrame, found: list) -> DataFrame:
             "args", lambda a: (lang == a) | F.startswith(lang, F.concat(a, F.lit("-")))),
         "in": F.array_contains("args", term_text(value, kind, dt, lang)),
     }
-    if components & {"minInclusive", "maxInclusive", "minExclusive", "maxExclusive"}:
-        arg, arg_dt = F.col("arg"), F.col("arg_dt")
-        same = compare_class(value, kind, dt) == compare_class(arg, F.lit(LITERAL), arg_dt)
-        mine, bound = compare_key(value, dt), compare_key(arg, arg_dt)
+    if ranged:
+        same = compare_class(value, kind, dt) == F.col("bound_class")
+        mine, bound = compare_key(value, dt), F.col("bound")
         tests["minInclusive"] = same & (mine >= bound)
         tests["maxInclusive"] = same & (mine <= bound)
         tests["minExclusive"] = same & (mine > bound)
@@ -326,7 +330,46 @@ def _expression(expr: str) -> Column:
     return F.expr(expr)
 
 
-def _counts(focus: DataFrame, values: DataFrame, quads: DataFrame, rules: _Rules, found: list) -> DataFrame:
+def _only_class(s: Shape) -> str | None:
+    """The class of a shape whose one target is a class."""
+    if len(s.targets) != 1 or s.targets[0][0] not in ("class", "implicit"):
+        return None
+    return s.id if s.targets[0][0] == "implicit" else s.targets[0][1]
+
+
+def _is_presence(s: Shape, found: tuple) -> bool:
+    _, _, component, params = found
+    return (component == "minCount" and int(params["count"]) == 1 and s.predicate not in (None, RDF_TYPE)
+            and _only_class(s) is not None)
+
+
+def _presence(quads: DataFrame, rules: _Rules, found: list) -> DataFrame:
+    """minCount 1 on one predicate of a class: the missing bits of each subject.
+
+    As in the coverage analysis, one shuffle on the subject serves all shapes,
+    and no focus node is repeated per shape before it.
+    """
+    classes = sorted({_only_class(rules.shapes[s]) for _, s, _, _ in found})
+    properties = sorted({rules.shapes[s].predicate for _, s, _, _ in found})
+    at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
+    bits = subject_bits(quads, classes, properties)
+    words = F.array(*[c for c in bits.columns if c.startswith("w")])
+    asked = F.array(*[
+        F.struct(*[F.lit(x).alias(n) for x, n in zip(
+            (s, r, *at_class[_only_class(rules.shapes[s])], *at_property[rules.shapes[s].predicate]),
+            ("shape", "rule", "class_word", "class_bit", "word", "bit"))])
+        for r, s, _, _ in found])
+
+    def is_set(x: Column, word: str, bit: str) -> Column:
+        return F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(words, x[word]), x[bit])) == 1
+
+    missed = F.filter(asked, lambda x: is_set(x, "class_word", "class_bit") & ~is_set(x, "word", "bit"))
+    rows = bits.select("g", F.col("s").alias("f"), F.col("s_kind").alias("f_kind"), F.lit("").alias("f_dt"),
+                       F.lit("").alias("f_lang"), F.lit(True).alias("reported"), F.inline(missed))
+    return _finding(rows, has_value=False)
+
+
+def _counts(focus: DataFrame, values: DataFrame | None, quads: DataFrame, rules: _Rules, found: list) -> DataFrame:
     """minCount and maxCount: values are counted before they meet the focus nodes."""
     spark = quads.sparkSession
     rows = [(r, s, rules.shapes[s].predicate or "", int(p["count"]) if c == "minCount" else None,
@@ -508,24 +551,66 @@ def _as_shapes(shapes: Iterable[Shape] | DataFrame) -> list[Shape]:
     return from_frame(shapes) if isinstance(shapes, DataFrame) else list(shapes)
 
 
-def _level_findings(focus: DataFrame, values: DataFrame, quads: DataFrame, bad: DataFrame | None,
-                    rules: _Rules, level: int) -> DataFrame | None:
+class _Level:
+    """The focus nodes and values of one level of nesting.
+
+    Each family asks for its own shapes, so its plan scans the predicates and
+    classes of those shapes only.
+    """
+
+    def __init__(self, quads: DataFrame, rules: _Rules, level: int, asked: DataFrame | None):
+        self.quads, self.rules = quads, rules
+        self.numbers = [i for i, at in enumerate(rules.level)
+                        if at == level and not rules.shapes[i].deactivated]
+        self.asked = None
+        if asked is not None:
+            own = _targets(quads, rules, self.numbers)
+            both = asked if own is None else asked.unionByName(own)
+            self.asked = cut(both.groupBy("shape", "g", *_F).agg(F.max("reported").alias("reported")))
+
+    def focus(self, found: list) -> DataFrame | None:
+        numbers = {s for _, s, _, _ in found}
+        if self.asked is not None:
+            return self.asked.where(F.col("shape").isin(*sorted(numbers)))
+        return _targets(self.quads, self.rules, numbers)
+
+    def values(self, found: list) -> DataFrame | None:
+        focus = self.focus(found)
+        return None if focus is None else _values(focus, self.quads, self.rules, {s for _, s, _, _ in found})
+
+
+def _level_findings(at: _Level, bad: DataFrame | None, level: int) -> DataFrame | None:
+    quads, rules = at.quads, at.rules
     frames = []
 
     def family(components: tuple[str, ...], plan) -> None:
         found = rules.of(level, *components)
+        # Shapes that nothing targets and no outer shape asks for have no focus nodes.
+        found = [x for x in found if at.asked is not None or rules.shapes[x[1]].targets]
         if found:
             frames.append(plan(found))
 
-    family(VALUE_TESTS, lambda x: _value_tests(_sql_names(values), x))
-    family(("minCount", "maxCount"), lambda x: _counts(focus, values, quads, rules, x))
-    family(("class",), lambda x: _classes(values, quads, x))
-    family(("hasValue",), lambda x: _has_value(focus, values, x))
-    family(("uniqueLang",), lambda x: _unique_lang(values, x))
-    family(("equals", "disjoint"), lambda x: _pairs(focus, values, quads, x))
-    family(("lessThan", "lessThanOrEquals"), lambda x: _less_than(focus, values, quads, x))
-    family(("closed",), lambda x: _closed(focus, quads, rules, x))
-    family((*NESTED, "qualified"), lambda x: _nested(focus, values, bad, rules, x))
+    def counts(found: list) -> DataFrame:
+        plain, other = [], []
+        for x in found:
+            (plain if at.asked is None and _is_presence(rules.shapes[x[1]], x) else other).append(x)
+        if plain and subclasses(quads, sorted({_only_class(rules.shapes[x[1]]) for x in plain})) is not None:
+            plain, other = [], found
+        complex_ = [x for x in other if not rules.shapes[x[1]].predicate]
+        parts = [_presence(quads, rules, plain)] if plain else []
+        if other:
+            parts.append(_counts(at.focus(other), at.values(complex_) if complex_ else None, quads, rules, other))
+        return _union(parts)
+
+    family(VALUE_TESTS, lambda x: _value_tests(_sql_names(at.values(x)), x))
+    family(("minCount", "maxCount"), counts)
+    family(("class",), lambda x: _classes(at.values(x), quads, x))
+    family(("hasValue",), lambda x: _has_value(at.focus(x), at.values(x), x))
+    family(("uniqueLang",), lambda x: _unique_lang(at.values(x), x))
+    family(("equals", "disjoint"), lambda x: _pairs(at.focus(x), at.values(x), quads, x))
+    family(("lessThan", "lessThanOrEquals"), lambda x: _less_than(at.focus(x), at.values(x), quads, x))
+    family(("closed",), lambda x: _closed(at.focus(x), quads, rules, x))
+    family((*NESTED, "qualified"), lambda x: _nested(at.focus(x), at.values(x), bad, rules, x))
     return _union(frames)
 
 
@@ -538,38 +623,26 @@ def _sql_names(values: DataFrame) -> DataFrame:
 
 def _findings(quads: DataFrame, rules: _Rules) -> DataFrame | None:
     depth = max(rules.level, default=0)
-    focus: list[DataFrame | None] = []
-    values: list[DataFrame | None] = []
+    levels: list[_Level] = []
     inner: dict[int, list[DataFrame]] = {}
     for level in range(depth + 1):
-        frames = inner.get(level, [])
-        own = _targets(quads, rules, level)
-        if own is not None:
-            frames = frames + [own]
-        found = _union(frames)
-        if found is not None and level > 0:
-            found = cut(found.groupBy("shape", "g", *_F).agg(F.max("reported").alias("reported")))
-        focus.append(found)
-        values.append(None if found is None else _values(found, quads, rules, level))
-        asks = rules.of(level, *NESTED, "qualified")
-        if asks and found is not None:
-            nested = _nested_focus(values[level], rules, asks)
+        at = _Level(quads, rules, level, _union(inner.get(level, [])))
+        levels.append(at)
+        asks = [x for x in rules.of(level, *NESTED, "qualified") if at.asked is not None or rules.shapes[x[1]].targets]
+        if asks:
+            nested = _nested_focus(at.values(asks), rules, asks)
             for below in range(level + 1, depth + 1):
-                numbers = [i for i, at in enumerate(rules.level) if at == below]
+                numbers = [i for i, n in enumerate(rules.level) if n == below]
                 inner.setdefault(below, []).append(nested.where(F.col("shape").isin(*numbers)))
     results: list[DataFrame] = []
-    bad: DataFrame | None = None
+    bad = local_frame(quads.sparkSession, [], "shape int, g string, f string, f_kind string, f_dt string, f_lang string")
     for level in range(depth, -1, -1):
-        if focus[level] is None:
-            continue
-        nothing = focus[level].where(F.lit(False)).select("shape", "g", *_F)
-        found = _level_findings(focus[level], values[level], quads, nothing if bad is None else bad, rules, level)
+        found = _level_findings(levels[level], bad, level)
         if found is None:
             continue
         if level > 0:
             found = cut(found)
-            failed = found.select("shape", "g", *_F).distinct()
-            bad = failed if bad is None else bad.unionByName(failed)
+            bad = bad.unionByName(found.select("shape", "g", *_F).distinct())
         results.append(found)
     return _union(results)
 

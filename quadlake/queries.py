@@ -13,16 +13,15 @@ from quadlake.operators import checks, counts, joins, records, scan
 from quadlake.plans import coverage as cov
 from quadlake.plans import jobs as job
 from quadlake.plans import report, validation
-from quadlake.quads import OBJECT, QUAD, SUBJECT, literal
+from quadlake.quads import OBJECT, QUAD, literal
 from quadlake.session import checkpoint_folder, cut, tune
 from quadlake.sources import derived, nquads, sample_shapes, store
 from quadlake.spec import CLASSES, RULES, TYPOS
 from quadlake.streaming import change_feed, drain
 from quadlake.vocab import (
     BUSY, CONTENT, COVERAGE_JOB, COVERAGE_OPERATION, COVERAGE_REPORT, CREATED, DCAT, DCT,
-    FAILED, FOAF, HEADERS, INPUT_CONTAINER, IRI, IS_PART_OF, JOBS_GRAPH, MODIFIED, OPERATION,
-    PUBLIC_GRAPH, RDF_TYPE, RESULT_GRAPH_PREFIX, STATUS, SUMMARY_PREFIX, TASK_CLASS, UUID, VALIDATION_OPERATION,
-    XSD_DATETIME,
+    FAILED, FOAF, HEADERS, INPUT_CONTAINER, IRI, OPERATION, PUBLIC_GRAPH, RDF_TYPE,
+    RESULT_GRAPH_PREFIX, STATUS, SUMMARY_PREFIX, TASK_CLASS, UUID, VALIDATION_OPERATION,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,6 +526,13 @@ def shacl_result_quads(q):
     return validation.result_quads(_base(q), graph)
 
 
+@catalogue
+def shacl_results_read(q):
+    """Results written as quads of result graphs and read back."""
+    graph = F.concat(F.lit(RESULT_GRAPH_PREFIX), F.sha2("g", 256))
+    return validation.results_from_quads(cut(validation.result_quads(_base(q), graph)))
+
+
 @catalogue
 def shacl_rollup(q):
     return report.rollup(_base(q), q)

@@ -16,7 +16,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g").getOrCreate())
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "6g")
+        .config("spark.sql.maxMetadataStringLength", "10000").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return tune(session)
 
