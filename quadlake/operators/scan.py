@@ -112,7 +112,7 @@ def after(df: DataFrame, variable: str, last: Mapping[str, str], limit: int) ->
     kinds = {BNODE: 1, IRI: 2, LITERAL: 3}
     names = [variable] + [c for c in df.columns if c != variable]
     ranks = [kinds[last[f"{variable}_kind"]]] if len(order) > len(names) else []
-    seen = [F.lit(x) for x in ranks + [last[n] for n in names]]
+    seen = [F.lit(x) for x in ranks] + [F.lit(last[n]).cast(df.schema[n].dataType) for n in names]
     return page(df.where(F.struct(*order) > F.struct(*seen)), order, limit)
 
 
