@@ -25,7 +25,7 @@ _GROUP = ["g", "class", "path", "shape", "severity"]
 def focus_classes(results: DataFrame, quads: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
     """results with the class of the focus node in the data graph g, one row per class."""
     typed = of_type(quads, *classes).select(
-        "g", F.col("s").alias("focus"), F.col("s_kind").alias("focus_kind"), "class").distinct()
+        "g", F.col("s").alias("focus"), F.col("s_kind").alias("focus_kind"), "class")
     return results.join(typed, ["g", "focus", "focus_kind"])
 
 

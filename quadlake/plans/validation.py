@@ -85,6 +85,19 @@ class _Rules:
             if component in NESTED or component == "qualified":
                 self.inner[i] |= {self.number[x] for x in self.members(params)}
         self.level = self._levels()
+        self._below: list[DataFrame | None] = []
+
+    def classes(self) -> list[str]:
+        """Every class that a target or a class constraint names."""
+        named = {s.id if kind == "implicit" else target for s in self.shapes if not s.deactivated
+                 for kind, target in s.targets if kind in ("class", "implicit")}
+        return sorted(named | {p["value"] for _, c, p in self.rules if c == "class"})
+
+    def below(self, quads: DataFrame) -> DataFrame | None:
+        """Subclasses of all those classes, searched for once."""
+        if not self._below:
+            self._below.append(subclasses(quads, self.classes()))
+        return self._below[0]
 
     def members(self, params) -> list[str]:
         return _listed(params, "shapes") + _listed(params, "disjoint")
@@ -122,20 +135,20 @@ def _focus_from(df: DataFrame, g, value, kind, dt, lang) -> DataFrame:
 def subclasses(quads: DataFrame, classes: list[str]) -> DataFrame | None:
     """(g, class, sub) below each class in the data, or None where there are none."""
     edges = edges_of(quads, [SUBCLASS_OF], inverse=True).where((F.col("a_kind") == IRI) & (F.col("b_kind") == IRI))
-    if edges.isEmpty():
+    if not classes or edges.isEmpty():
         return None
     seeds = edges.where(F.col("a").isin(*classes))
     found = closure(edges, seeds).select("g", F.col("a").alias("class"), F.col("b").alias("sub"))
     return found.where(F.col("class") != F.col("sub"))
 
 
-def members(quads: DataFrame, classes: list[str]) -> DataFrame:
-    """(g, s, s_kind, class): instances, also through subclasses, each once."""
+def members(quads: DataFrame, classes: list[str], below: DataFrame | None) -> DataFrame:
+    """(g, s, s_kind, class): instances, also through the given subclasses, each once."""
     direct = of_type(quads, *classes)
-    below = subclasses(quads, classes)
     if below is None:
         return direct
-    through = of_type(quads).withColumnRenamed("class", "sub").join(below, ["g", "sub"]).drop("sub")
+    wanted = below.where(F.col("class").isin(*classes))
+    through = of_type(quads).withColumnRenamed("class", "sub").join(wanted, ["g", "sub"]).drop("sub")
     return direct.unionByName(through).distinct()
 
 
@@ -158,7 +171,7 @@ def _targets(quads: DataFrame, rules: _Rules, numbers: Iterable[int]) -> DataFra
     frames = []
     if "class" in wanted:
         classes = sorted({c for _, c in wanted["class"]})
-        found = members(quads, classes).join(table("class", "class"), "class")
+        found = members(quads, classes, rules.below(quads)).join(table("class", "class"), "class")
         frames.append(_focus_from(found, "g", F.col("s"), F.col("s_kind"), none, none))
     if "node" in wanted:
         graphs = quads.select("g").distinct()
@@ -395,10 +408,10 @@ def _counts(focus: DataFrame, values: DataFrame | None, quads: DataFrame, rules:
     return _finding(_union(frames), has_value=False)
 
 
-def _classes(values: DataFrame, quads: DataFrame, found: list) -> DataFrame:
+def _classes(values: DataFrame, quads: DataFrame, rules: _Rules, found: list) -> DataFrame:
     rows = [(r, s, p["value"]) for r, s, _, p in found]
     asked = values.join(_rule_table(values.sparkSession, rows, "rule int, shape int, class string"), "shape")
-    known = members(quads, sorted({x[2] for x in rows})).select(
+    known = members(quads, sorted({x[2] for x in rows}), rules.below(quads)).select(
         "g", "class", F.col("s").alias("v"), F.col("s_kind").alias("v_kind"))
     # Literals have neither type nor the kind of a subject, so they stay.
     return _finding(asked.join(known, ["g", "class", "v", "v_kind"], "left_anti"))
@@ -594,7 +607,7 @@ def _level_findings(at: _Level, bad: DataFrame | None, level: int) -> DataFrame
         plain, other = [], []
         for x in found:
             (plain if at.asked is None and _is_presence(rules.shapes[x[1]], x) else other).append(x)
-        if plain and subclasses(quads, sorted({_only_class(rules.shapes[x[1]]) for x in plain})) is not None:
+        if plain and rules.below(quads) is not None:
             plain, other = [], found
         complex_ = [x for x in other if not rules.shapes[x[1]].predicate]
         parts = [_presence(quads, rules, plain)] if plain else []
@@ -604,7 +617,7 @@ def _level_findings(at: _Level, bad: DataFrame | None, level: int) -> DataFrame
 
     family(VALUE_TESTS, lambda x: _value_tests(_sql_names(at.values(x)), x))
     family(("minCount", "maxCount"), counts)
-    family(("class",), lambda x: _classes(at.values(x), quads, x))
+    family(("class",), lambda x: _classes(at.values(x), quads, rules, x))
     family(("hasValue",), lambda x: _has_value(at.focus(x), at.values(x), x))
     family(("uniqueLang",), lambda x: _unique_lang(at.values(x), x))
     family(("equals", "disjoint"), lambda x: _pairs(at.focus(x), at.values(x), quads, x))
