@@ -82,26 +82,26 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float = MOST, perio
              .withColumn("__group", F.coalesce("__named", F.lit(len(weights) - 1)))
              .withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))))
     # How many documents of a group come before a bucket: a row for each group and bucket.
-    before = Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = (keyed.groupBy(F.col("__group").alias("grp"), F.col("__bucket").alias("bucket")).count()
-             .select("grp", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first")))
+    before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = (keyed.groupBy(F.col("__group").alias("__g"), F.col("__bucket").alias("__b")).count()
+             .select("__g", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first")))
     inside = Window.partitionBy("__group", "__bucket").orderBy(*[c for c in ("doc_id", "text") if c in docs.columns])
     placed = (keyed.withColumn("__rank", F.row_number().over(inside) - 1)
-              .join(first, (F.col("__group") == F.col("grp")) & (F.col("__bucket") == F.col("bucket")))
-              .withColumn("__index", F.col("first") + F.col("__rank"))
-              .withColumn("__block", F.expr(f"__index DIV {block_rows}")).drop("grp"))
-    plan = schedule(spark, weights).select(F.col("grp").alias("__grp"), "turn", "slot")
-    by_group = constant_rows(spark, list(enumerate(weights)), "__member int, weight int")
+              .join(first, (F.col("__group") == F.col("__g")) & (F.col("__bucket") == F.col("__b")))
+              .withColumn("__index", F.col("__first") + F.col("__rank"))
+              .withColumn("__block", F.expr(f"__index DIV {block_rows}")))
+    plan = schedule(spark, weights).select(F.col("grp").alias("__grp"), F.col("turn").alias("__next"), F.col("slot").alias("__at"))
+    by_group = constant_rows(spark, list(enumerate(weights)), "__member int, __weight int")
     period = sum(weights)
     slotted = (placed.join(F.broadcast(by_group), F.col("__group") == F.col("__member"))
-               .withColumn("__turn", F.expr("int(__block % weight)"))
-               .join(F.broadcast(plan), (F.col("__group") == F.col("__grp")) & (F.col("__turn") == F.col("turn")))
-               .withColumn("__slot", F.expr(f"(__block DIV weight) * {period} + slot")))
+               .withColumn("__turn", F.expr("int(__block % __weight)"))
+               .join(F.broadcast(plan), (F.col("__group") == F.col("__grp")) & (F.col("__turn") == F.col("__next")))
+               .withColumn("__slot", F.expr(f"(__block DIV __weight) * {period} + __at")))
     # The first slot for which a group has no block, from the same table of slots.
     ends = constant_rows(spark, [(k, -(-n // block_rows) // w, -(-n // block_rows) % w) for k, (n, w) in enumerate(zip(group_sizes, weights))],
                          "group_no int, rounds long, next_turn int")
-    end = (ends.join(plan, (F.col("group_no") == F.col("__grp")) & (F.col("next_turn") == F.col("turn")))
-           .agg(F.min(F.col("rounds") * period + F.col("slot"))).first()[0]) if total else 0
+    end = (ends.join(plan, (F.col("group_no") == F.col("__grp")) & (F.col("next_turn") == F.col("__next")))
+           .agg(F.min(F.col("rounds") * period + F.col("__at"))).first()[0]) if total else 0
     return slotted.select(*docs.columns, "__group", "__block", "__slot",
                           F.expr(f"__index % {block_rows}").alias("__place"),
                           (F.col("__slot") < F.lit(end)).alias("__in_mix"))

@@ -19,8 +19,9 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -64,8 +65,12 @@ def candidates(doc_ends: np.ndarray, sentences: np.ndarray, every: int = INNER_E
     return places, penalty[places]
 
 
-def best_cuts(places: list[int], penalties: list[int], width: int = WIDTH) -> list[int]:
-    """Indexes of the cuts of least cost, the first and the last place included."""
+def best_cuts(places: list[int], penalties: list[int], width: int = WIDTH,
+              tail: Callable[[int], int] | None = None) -> list[int]:
+    """Indexes of the cuts of least cost, the first and the last place included.
+
+    tail: the cost of a last window of a given length, by default its padding.
+    """
     value, previous = [0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])
     for j in range(1, len(places)):
@@ -79,11 +84,19 @@ def best_cuts(places: list[int], penalties: list[int], width: int = WIDTH) -> li
             queue.pop()
         queue.append(j)
     cuts = [len(places) - 1]
+    if tail is not None and cuts[0]:
+        end = places[-1]
+        near = range(bisect_left(places, end - width), cuts[0])
+        previous[cuts[0]] = min(near, key=lambda i: value[i] - places[i] + tail(end - places[i]))
     while cuts[-1]:
         cuts.append(previous[cuts[-1]])
     return cuts[::-1]
 
 
+def tail_cost(n: int, width: int = WIDTH) -> int:
+    return 0 if n & (n - 1) == 0 else min((n.bit_count() - 1) * INNER_PENALTY, width - n)
+
+
 def tail_lengths(n: int, width: int = WIDTH) -> list[int]:
     """Lengths for a last window of n ids. A power of two is never padded, so its binary
     digits are windows without padding; taken when that costs less than the padding."""
@@ -116,7 +129,9 @@ class Packer:
         # The sentence may end within the document only, not with its end id.
         ends = np.concatenate([self._ends[x] for x in left])
         places, penalties = candidates(doc_ends, np.flatnonzero(ends) + 1)
-        cuts = places[best_cuts(places.tolist(), penalties.tolist(), self._width)].tolist()
+        # What a plan that is not the last leaves over is planned again: it costs nothing.
+        tail = (lambda n: tail_cost(n, self._width)) if last else (lambda n: 0)
+        cuts = places[best_cuts(places.tolist(), penalties.tolist(), self._width, tail)].tolist()
         if last:
             lengths = [b - a for a, b in zip(cuts, cuts[1:])]
             lengths[-1:] = tail_lengths(lengths[-1], self._width)
