@@ -30,6 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
             total = hooks
         else:
             further = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            total = cut(total.join(further, "label", "left")
-                        .select("node", F.coalesce("next", "label").alias("label")))
+            total = (total.join(further, "label", "left")
+                     .select("node", F.coalesce("next", "label").alias("label")))
     return total if total is not None else edges.select(F.col("src").alias("node"), F.col("dst").alias("label"))

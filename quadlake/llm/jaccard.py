@@ -1,14 +1,14 @@
 """Jaccard join of n-gram sets by prefix trees.
 
-Documents are sets of word n-grams (as 64-bit hashes); equal sets are one set. All
-n-grams have one global order, the rare before the common: two sets that reach the
-threshold share an n-gram of their prefixes, the first |x| - ceil(t |x|) + 1 of each.
-Any order gives the same result; what is common is found by lossy counting over all
-documents, the rest is ordered by hash.
-
-1. Sets that share a prefix n-gram are chained to the least of them, within a task first
-   and then per n-gram, so a common n-gram sends a row per task, not per document. The
-   connected components of these chains are families: all links lie within them.
+Documents are sets of word n-grams (as 64-bit hashes); equal sets are one set.
+
+1. The range of hashes is cut into m parts, m by size class. Similar sets of a class differ
+   in at most D n-grams, so at least m - D parts of them are equal. A set posts a key for
+   each part that is not small; it counts as small only as far as fewer than m - D of the
+   set's parts are, so similar sets always meet at a key. Sets that meet are chained to
+   one of them, within a task first and then per key: a key of a million copies sends a
+   row per task. The connected components of the chains are families; all links lie
+   within them. Documents that merely share a passage hardly ever meet.
 2. The texts of a family meet in blocks of bounded size. A block keeps its sets in a trie
    in global order, the common n-grams first, so that similar sets share paths. Each set
    walks down the trie once; the overlap along a path is counted once for all sets below.
@@ -28,6 +28,8 @@ are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import itertools
 from collections.abc import Iterable, Iterator
 
@@ -42,10 +44,12 @@ from quadlake.session import cut
 
 N = 4
 PERCENT = 85
-# The most common n-grams come last in the order; a fixed table of them is broadcast.
-COMMON = 1 << 17
-# n-grams counted at a time in a task, and n-grams of a block: bounds of memory.
-COUNTED = 4_000_000
+# Sizes of a class grow by this ratio, and so many parts more than differences are made.
+CLASS_GROWTH, MORE_PARTS = 1.15, 0.25
+# Parts below this size are left out where enough others remain.
+SMALL_PART = 4
+# Postings held in a task, and n-grams of a block: bounds of memory.
+HELD = 2_000_000
 BLOCK_GRAMS = 1_000_000
 
 
@@ -72,96 +76,108 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, sig binary")
 
 
-def common_grams(docs: DataFrame, n: int = N) -> np.ndarray:
-    """The most common n-grams, the commonest first.
+@functools.cache
+def classes(percent: int) -> list[tuple[int, int, int]]:
+    """(largest size, most differences D, parts m) of the classes of sizes."""
+    out, size = [], 1
+    while size < 1 << 40:
+        # |x ^ y| = |x| + |y| - 2 |x & y|, and |x & y| >= t (|x| + |y|) / (1 + t).
+        differences = (100 - percent) * 2 * size // (100 + percent)
+        out.append((size, differences, differences + 1 + int(MORE_PARTS * differences)))
+        size = max(size + 1, int(size * CLASS_GROWTH))
+    return out
+
+
+def part_keys(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set of sorted n-grams, for each class that a similar set may be of."""
+    n, kinds, out = len(grams), classes(percent), []
+    first = bisect.bisect_left(kinds, (n,))
+    last = bisect.bisect_left(kinds, (100 * n // percent,))
+    hashes = mix(grams + np.uint64(0x632BE59BD9B4E019))
+    for _, differences, m in kinds[first:last + 1]:
+        part = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        starts = np.flatnonzero(np.diff(part, prepend=part[:1] - np.uint64(1)))
+        sizes = np.diff(starts, append=n)
+        empty = m - len(starts)
+        for least in range(SMALL_PART, -1, -1):
+            big = sizes >= least
+            if empty * (least > 0) + int(np.count_nonzero(~big)) < m - differences:
+                break
+        held = np.add.reduceat(hashes, starts)[big]
+        number = part[starts][big]
+        if least == 0:
+            lacking = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])
+            held, number = np.append(held, np.zeros(len(lacking), np.uint64)), np.append(number, lacking)
+        out.append(mix(held + mix(number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m))))
+    return np.concatenate(out)
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first posting of each key, and the different edges from it to the key's others."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
+    of = np.repeat(nodes[first], np.diff(first, append=len(keys)))
+    apart = nodes != of
+    return keys[first], nodes[first], np.unique(np.column_stack((nodes[apart], of[apart])), axis=0)
+
+
+def node_of(sig: bytes) -> int:
+    """A set's number in the chains: 64 bits of its signature. Sets that share it share a
+    family, which does no harm."""
+    return int.from_bytes(sig[:8], "big", signed=True)
+
+
+def chains(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Edges (src, dst) between nodes, enough to connect all sets that are similar."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Each task adds up its distinct texts' n-grams and drops, every few million, those it
-    met once; the sums rank them. Being approximate, the ranks change work only.
-    """
-    def count(rows: Iterator[tuple]) -> Iterable[tuple]:
-        held, size, seen = [], 0, set()
+    def post(rows: Iterator[tuple]) -> Iterable[tuple]:
+        keys, nodes, size, seen = [], [], 0, set()
 
         def flush() -> Iterator[tuple]:
-            grams, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times > 1
-            yield from zip(grams[often].view(np.int64).tolist(), times[often].tolist())
-
-        for (text,) in rows:
-            key = hash(text)
-            if key in seen:
-                continue
-            seen.add(key)
-            held.append(gram_set(text, n))
-            size += len(held[-1])
-            if size > COUNTED:
-                yield from flush()
-                held, size, seen = [], 0, set()
-        if held:
-            yield from flush()
-
-    top = (map_rows(docs.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "gram").limit(COMMON).collect())
-    return np.array([r.gram for r in top], np.int64).view(np.uint64)
-
-
-class Order:
-    """The global order: n-grams by hash, then the common ones, the commonest last."""
+            key, node, edges = _stars(np.concatenate(keys), np.concatenate(nodes))
+            bucket = (key % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(shards + 1))
+            for k in range(shards):
+                part = order[bounds[k]:bounds[k + 1]]
+                if len(part):
+                    yield k, key[part].tobytes(), node[part].tobytes(), False
+            if len(edges):
+                yield int(edges[0, 0]) % shards, edges[:, 0].tobytes(), edges[:, 1].tobytes(), True
 
-    def __init__(self, common: np.ndarray):
-        by_gram = np.argsort(common)
-        self._grams, self._rank = common[by_gram], (len(common) - by_gram).astype(np.int64)
-
-    def sort(self, grams: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(grams), np.int64)
-        if len(self._grams):
-            place = np.minimum(np.searchsorted(self._grams, grams), len(self._grams) - 1)
-            rank = np.where(self._grams[place] == grams, self._rank[place], 0)
-        return grams[np.lexsort((grams, rank))]
-
-
-def prefix_length(size: int, percent: int = PERCENT) -> int:
-    return size - -(-percent * size // 100) + 1
-
-
-def chains(docs: DataFrame, common: np.ndarray, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Edges (src, dst) between sets with a common prefix n-gram, enough to connect them."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def post(rows: Iterator[tuple]) -> Iterable[tuple]:
-        order, first, seen, edges, size = Order(shared.value), {}, set(), set(), 0
         for (text,) in rows:
             grams = gram_set(text, n)
             sig = signature(grams)
             if sig is None or sig in seen:
                 continue
             seen.add(sig)
-            prefix = order.sort(grams)[:prefix_length(len(grams), percent)].view(np.int64).tolist()
-            met = {first.setdefault(g, sig) for g in prefix}
-            edges.update((sig, other) for other in met if other != sig)
-            size += len(prefix)
-            if size > COUNTED // 4:
-                yield from ((g, s, None) for g, s in first.items())
-                first, seen, size = {}, set(), 0
-            if len(edges) > 100_000:
-                yield from ((hash(e) >> 1, *e) for e in edges)
-                edges = set()
-        yield from ((g, s, None) for g, s in first.items())
-        yield from ((hash(e) >> 1, *e) for e in edges)
+            found = part_keys(grams, percent)
+            keys.append(found)
+            nodes.append(np.full(len(found), node_of(sig)))
+            size += len(found)
+            if size > HELD:
+                yield from flush()
+                keys, nodes, size, seen = [], [], 0, set()
+        if keys:
+            yield from flush()
 
     def meet(rows: Iterator[tuple]) -> Iterable[tuple]:
-        gram = least = None
-        for g, sig, other in rows:
-            if other is not None:
-                yield sig, other
-            elif g != gram:
-                gram, least = g, sig
-            elif sig != least:
-                yield sig, least
-
-    posted = map_rows(docs.select("text"), post, "gram long, sig binary, other binary")
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = posted.repartition(shards, "gram").sortWithinPartitions("gram", "other", "sig")
-    return map_rows(dealt, meet, "src binary, dst binary").distinct()
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            keys, nodes = [], []
+            for _, a, b, edges in group:
+                if edges:
+                    yield from zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist())
+                else:
+                    keys.append(np.frombuffer(a, np.uint64))
+                    nodes.append(np.frombuffer(b, np.int64))
+            if keys:
+                yield from map(tuple, _stars(np.concatenate(keys), np.concatenate(nodes))[2].tolist())
+
+    posted = map_rows(docs.select("text"), post, "bucket int, a binary, b binary, edges boolean", 1)
+    dealt = posted.repartition(shards, "bucket").sortWithinPartitions("bucket")
+    return map_rows(dealt, meet, "src long, dst long").distinct()
 
 
 class Forest:
@@ -329,9 +345,9 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     """The signed documents, and links (src, dst) that connect similar sets."""
     signed = cut(signatures(docs, n))
     sets = signed.where("sig is not null").groupBy("sig").agg(F.max("n_shingles").alias("n"))
-    families = components(chains(docs, common_grams(docs, n), n, percent)).select(
-        F.col("node").alias("sig"), F.col("label").alias("family"))
-    sized = families.join(sets, "sig")
+    families = components(chains(docs, n, percent)).select("node", F.col("label").alias("family"))
+    node = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
+    sized = cut(families.join(sets.withColumn("node", node), "node").drop("node"))
     blocks = (sized.groupBy("family").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks")))
     members = sized.join(blocks, "family").select(
         "sig", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
