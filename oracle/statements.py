@@ -87,8 +87,8 @@ UNION ALL SELECT 'urn:g:parts', s, 'iri', '{DCT}subject', c_mktsegment, 'literal
 q("entities_of_class", f"SELECT g, s FROM quads WHERE p = '{TYPE}' AND o = '{DCAT}Dataset'")
 q("values_filter", f"SELECT g, s, p, o FROM quads WHERE p IN ('{TITLE}', '{DCT}format', '{DCAT}Distribution')")
 j("scheduled_tasks", f"SELECT g, s AS task FROM jobs WHERE p = '{ADMS}status' AND o = '{SCHEDULED}'")
-q("class_properties", f"""SELECT a.g, a.s, a.o AS class, b.p, b.o FROM quads a JOIN quads b ON a.g = b.g AND a.s = b.s
-WHERE a.p = '{TYPE}' AND a.o IN ({FOUR})""")
+q("class_properties", f"""SELECT a.g, a.s, a.class, b.p, b.o FROM (WITH typed AS MATERIALIZED (
+SELECT g, s, o AS class FROM quads WHERE p = '{TYPE}' AND o IN ({FOUR})) FROM typed) a JOIN quads b ON a.g = b.g AND a.s = b.s""")
 
 STAR = f"""SELECT t.g, t.s, c.o AS created, st.o AS status, op.o AS operation, u.o AS id
 FROM jobs t JOIN jobs c ON t.g = c.g AND t.s = c.s JOIN jobs st ON t.g = st.g AND t.s = st.s
@@ -447,7 +447,8 @@ family("qualified",
        found(SH_ + "disjoint-rights", f"qualified(disjoint={HL}, min=4, shapes={HR})", "QualifiedMinCount",
              qualified("< 4", f"NOT {has(LICENSE, 'f.o')}"), DCAT + "distribution", False, via="'qualified_min'"))
 family("closed", found(SH_ + "closed-record", f"closed(allowed={MOD}, ignored={TYPE})", "Closed",
-                       f"SELECT x.g, x.s, x.o, x.o_kind, x.o_dt, x.o_lang, x.p FROM quads x JOIN {focus(REC)} f ON f.g = x.g AND f.s = x.s "
+                       f"SELECT x.g, x.s, x.o, x.o_kind, x.o_dt, x.o_lang, x.p FROM quads x JOIN (WITH f AS MATERIALIZED "
+                       f"(FROM {focus(REC)} t) FROM f) f ON f.g = x.g AND f.s = x.s "
                        f"WHERE x.p NOT IN ('{MOD}', '{TYPE}')", "via", via="p").replace("via AS path", "p AS path"))
 OWNER = found(SH_ + "owner", "hasValue(value=urn:x:agent:0)", "HasValue",
               f"SELECT g, s FROM {focus(CAT)} f WHERE NOT EXISTS (FROM quads x WHERE x.g = f.g AND x.s = f.s "

@@ -96,8 +96,7 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     The sorted rows are written first, so both passes see the same partitions.
     The running total spans one row per partition.
     """
-    ranked = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
-    ranked = ranked.withColumn("_part", F.shiftright("_id", _ROW_BITS))
+    ranked = sorted_parts(df, order)
     sizes = ranked.groupBy("_part").count()
     total = F.sum("count").over(Window.orderBy("_part"))
     starts = sizes.select("_part", (total - F.col("count")).alias("_start"))
@@ -106,6 +105,12 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
             .withColumn("row", F.col("_start") + within).drop("_id", "_part", "_start"))
 
 
+def sorted_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in order, written as sorted parts, with _part and an _id that grows by 1 in each."""
+    ranked = cut(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    return ranked.withColumn("_part", F.shiftright("_id", _ROW_BITS))
+
+
 def after(df: DataFrame, variable: str, last: Mapping[str, str], limit: int) -> DataFrame:
     """The page that follows the row ``last`` of the page before: cheap at any depth."""
     order = term_order(df, variable)

@@ -20,8 +20,8 @@ _SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Tables of rules and shapes are metadata; anything larger is refused rather
-# than broadcast.
+# Default bound of tables of rules and shapes, which are metadata and broadcast; a caller
+# with more of them passes a bound of its own.
 MAX_LOCAL_ROWS = 10_000
 
 
@@ -57,12 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str) -> DataFrame:
-    """A frame of metadata rows, a local relation with known statistics."""
+def local_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructType | str,
+                most: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """A frame of at most ``most`` metadata rows, a local relation with known statistics."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     rows = list(rows)
-    if len(rows) > MAX_LOCAL_ROWS:
+    if len(rows) > most:
         raise ValueError(f"{len(rows)} rows are too many for a table of metadata")
     arrow = to_arrow_schema(schema)
     columns = list(zip(*rows)) if rows else [[] for _ in arrow]
@@ -70,9 +71,9 @@ def local_frame(spark: SparkSession, rows: Iterable[Sequence], schema: T.StructT
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
 
 
-def metadata_rows(df: DataFrame) -> list:
+def metadata_rows(df: DataFrame, most: int = MAX_LOCAL_ROWS) -> list:
     """Rows of a metadata table on the driver, after a check of its size."""
-    rows = df.limit(MAX_LOCAL_ROWS + 1).collect()
-    if len(rows) > MAX_LOCAL_ROWS:
-        raise ValueError(f"more than {MAX_LOCAL_ROWS} rows in a table of metadata")
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table of metadata")
     return rows

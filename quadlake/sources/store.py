@@ -9,13 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadlake.operators.scan import graph_size
+from quadlake.operators.scan import sorted_parts
 from quadlake.quads import QUAD, QUAD_SCHEMA, as_set
 from quadlake.vocab import WRITE_BATCH
 
 MAX_FILE_ROWS = 20_000_000
-# Rows of one bucket when batches are numbered.
-_BUCKET_ROWS = 1_000_000
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -51,20 +49,21 @@ def store_graph(triples: DataFrame, g: str, path: str) -> None:
     append_quads(triples.withColumn("g", F.lit(g)).select(*QUAD), path)
 
 
-def batch_ids(quads: DataFrame, n: int = WRITE_BATCH, bucket_rows: int = _BUCKET_ROWS) -> DataFrame:
-    """quads with (bucket, batch, complete): groups of n quads of one graph.
+def batch_ids(quads: DataFrame, n: int = WRITE_BATCH) -> DataFrame:
+    """quads with (batch, complete): groups of n quads of one graph, the last may be short.
 
-    Graphs are cut into hash buckets of about ``bucket_rows`` quads first, so no
-    task numbers a whole graph; only the last batch of a bucket may be short.
+    The quads are sorted into parts first. A quad's number in its graph is its place among
+    the graph's quads of its part, plus what earlier parts hold: one row per graph and
+    part, so a large graph is numbered by many tasks.
     """
     if n < 1:
         raise ValueError("n must be at least one")
-    buckets = graph_size(quads).select(
-        "g", F.ceil(F.col("triples") / bucket_rows).alias("buckets"))
-    split = quads.join(buckets, "g").withColumn(
-        "bucket", F.pmod(F.xxhash64(*QUAD), F.col("buckets"))).drop("buckets")
-    order = [F.col(c) for c in QUAD[1:]]
-    row = F.row_number().over(Window.partitionBy("g", "bucket").orderBy(*order)) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy("g", "bucket"))
-    numbered = split.select("*", F.floor(row / n).alias("batch"), size.alias("size"))
-    return numbered.withColumn("complete", (F.col("batch") + 1) * n <= F.col("size")).drop("size")
+    parts = sorted_parts(quads, [F.col(c) for c in QUAD])
+    sizes = parts.groupBy("g", "_part").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    so_far = Window.partitionBy("g").orderBy("_part")
+    starts = sizes.select("g", "_part", "_least", (F.sum("_n").over(so_far) - F.col("_n")).alias("_before"),
+                          F.sum("_n").over(Window.partitionBy("g")).alias("_size"))
+    number = F.col("_before") + F.col("_id") - F.col("_least")
+    numbered = parts.join(starts, ["g", "_part"]).withColumn("batch", F.floor(number / n))
+    return (numbered.withColumn("complete", (F.col("batch") + 1) * n <= F.col("_size"))
+            .drop("_part", "_id", "_least", "_before", "_size"))

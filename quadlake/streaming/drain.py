@@ -17,8 +17,8 @@ from quadlake.functions.terms import key_hash
 from quadlake.operators.joins import union_of
 from quadlake.plans.coverage import coverage
 from quadlake.plans.jobs import (
-    actionable_tasks, attach_results, data_graphs, link_report, record_quads, task_endpoints,
-    task_jobs, update_status,
+    actionable_tasks, attach_results, data_graphs, link_report, record_quads,
+    status_moves, task_endpoints, task_jobs, update_status,
 )
 from quadlake.plans.report import (
     coverage_summary, report_text, rollup, summary_iri, validation_summary,
@@ -162,13 +162,14 @@ def once(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def illegal_against(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """(task, previous, status): first changes of a micro-batch that the stored state forbids.
+    """(task, previous, status): changes of a micro-batch that are no legal move.
 
-    ``stored`` has (task, status); a task it does not know must begin as scheduled.
+    A change follows the one before it in the batch; the first of a task follows the
+    stored state (task, status). A task that is unknown must begin as scheduled.
     """
-    first = batch.groupBy("task").agg(F.min_by("status", F.struct("ts", "id")).alias("status"))
-    joined = first.join(stored.select("task", F.col("status").alias("previous")), "task", "left")
-    legal = F.col("previous").isNull() & (F.col("status") == SCHEDULED)
+    moves = status_moves(batch).join(stored.select("task", F.col("status").alias("stored")), "task", "left")
+    previous = F.coalesce("previous", "stored")
+    legal = previous.isNull() & (F.col("status") == SCHEDULED)
     for old, new in LEGAL_MOVES:
-        legal = legal | ((F.col("previous") == old) & (F.col("status") == new))
-    return joined.where(~F.coalesce(legal, F.lit(False))).select("task", "previous", "status")
+        legal = legal | ((previous == old) & (F.col("status") == new))
+    return moves.where(~F.coalesce(legal, F.lit(False))).select("task", previous.alias("previous"), "status")

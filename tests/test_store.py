@@ -29,17 +29,16 @@ def test_numeric_graph_names_stay_text(make, spark, tmp_path):
     assert rows(store.read_store(spark, path), "g") == [("007",)]
 
 
-@pytest.mark.parametrize("bucket_rows", [1000, 7])
-def test_batches(make, bucket_rows):
-    got = store.batch_ids(sample(make), 4, bucket_rows)
-    sizes = got.groupBy("g", "bucket", "batch").agg(F.count("*").alias("n"), F.min("complete").alias("c"),
+def test_batches(make):
+    got = store.batch_ids(sample(make), 4)
+    sizes = got.groupBy("g", "batch").agg(F.count("*").alias("n"), F.min("complete").alias("c"),
                                                     F.max("complete").alias("d")).collect()
     assert sum(r.n for r in sizes) == 60
     assert all(r.c == r.d == (r.n == 4) and r.n <= 4 for r in sizes)
     last = {}
     for r in sizes:
-        last[(r.g, r.bucket)] = max(last.get((r.g, r.bucket), 0), r.batch)
-    assert all(r.n == 4 or r.batch == last[(r.g, r.bucket)] for r in sizes)
+        last[r.g] = max(last.get(r.g, 0), r.batch)
+    assert all(r.n == 4 or r.batch == last[r.g] for r in sizes)
 
 
 def test_batch_size_must_be_positive(make):

@@ -124,6 +124,8 @@ def test_status_stream_equals_batch(spark, tmp_path):
 def test_illegal_against_stored_state(spark):
     schema = "task string, status string, ts timestamp, id bigint"
     at = dt.datetime(2024, 1, 1)
-    batch = spark.createDataFrame([("a", BUSY, at, 1), ("b", BUSY, at, 2), ("c", SCHEDULED, at, 3), ("d", SUCCESS, at, 4)], schema)
+    batch = spark.createDataFrame([("a", BUSY, at, 1), ("b", BUSY, at, 2), ("c", SCHEDULED, at, 3), ("d", SUCCESS, at, 4),
+                                   ("a", SCHEDULED, at, 5), ("a", SUCCESS, at, 6)], schema)
     stored = spark.createDataFrame([("a", SCHEDULED), ("b", SUCCESS)], "task string, status string")
-    assert rows(drain.illegal_against(batch, stored)) == [("b", SUCCESS, BUSY), ("d", None, SUCCESS)]
+    assert rows(drain.illegal_against(batch, stored)) == [
+        ("a", BUSY, SCHEDULED), ("a", SCHEDULED, SUCCESS), ("b", SUCCESS, BUSY), ("d", None, SUCCESS)]

@@ -99,3 +99,25 @@ def test_comparison(spark):
     got = [r[0] for r in kinds.select(compare_class(
         F.col("t"), F.lit("literal"), F.concat(F.lit(XSD), "d"))).collect()]
     assert got == [None, None, None, "string", "date", None]
+
+
+def test_lexical_spaces(spark):
+    from pyspark.sql import functions as F
+
+    from quadlake.functions.lexical import compare_key, is_valid
+    from quadlake.vocab import XSD
+    cases = [("dateTime", "12024-02-29T00:00:00", True), ("dateTime", "2023-02-29T00:00:00", False),
+             ("dateTime", "2024-01-01T24:00:00", True), ("dateTime", "2024-01-01T24:00:01", False),
+             ("date", "1900-02-29", False), ("date", "2000-02-29", True), ("date", "2024-04-31", False),
+             ("dateTimeStamp", "zz", False), ("dateTimeStamp", "2024-01-01T00:00:00", False),
+             ("dateTimeStamp", "2024-01-01T00:00:00Z", True), ("dayTimeDuration", "P1DT2H", True),
+             ("dayTimeDuration", "P1Y", False), ("yearMonthDuration", "P1Y2M", True), ("yearMonthDuration", "P1D", False),
+             ("gMonth", "--13", False), ("gMonth", "--12", True), ("gDay", "---32", False), ("gDay", "---31", True),
+             ("gMonthDay", "--02-30", False), ("gMonthDay", "--02-29", True), ("base64Binary", "YQ==", True),
+             ("base64Binary", "YR==", False), ("base64Binary", "YWJj", True), ("base64Binary", "YW", False), ("base64Binary", "", True)]
+    df = spark.createDataFrame([(XSD + k, t, w) for k, t, w in cases], "dt string, text string, want boolean")
+    wrong = df.where(is_valid(F.col("text"), F.col("dt")) != F.col("want")).collect()
+    assert wrong == []
+    numbers = ["-" + "9" * 31, "-" + "9" * 30, "-" + "1" * 30, "-5", "0", "7", "1" * 30, "1" * 29 + "2", "9" * 30, "1" + "0" * 30]
+    df = spark.createDataFrame([(k, t, XSD + "integer") for k, t in enumerate(numbers)], "k int, text string, dt string")
+    assert [r.k for r in df.orderBy(compare_key(F.col("text"), F.col("dt"))).collect()] == list(range(len(numbers)))
