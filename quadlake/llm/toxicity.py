@@ -41,8 +41,8 @@ BUCKETS = 1 << 18
 LANDMARKS = 192
 THRESHOLD = 0.7
 # The classifier is fitted on at most so many labelled documents of each class, by hash.
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 40_000
+SAMPLE_DOCS = 1200
+SAMPLE_CHARS = 20_000
 NEGATIVES = 5_000
 ROUNDS = 3
 # A word tells the classes apart from this likelihood ratio on.
@@ -165,8 +165,11 @@ def _inserted(word: str) -> list[str]:
     return [word[:k] + c + word[k:] for k in range(1, len(word)) for c in ("x", word[k - 1])]
 
 
-def train(sample: list[tuple[list[str], int]]) -> Machine:
-    """Fit on (sentences as words joined by blanks, label) of documents."""
+def train(sample: list[tuple[list[str], int]], odds_of_toxic: float | None = None) -> Machine:
+    """Fit on (sentences as words joined by blanks, label) of documents.
+
+    odds_of_toxic: toxic to clean documents among all labels, if the sample differs.
+    """
     docs = [([s.split() for s in sentences], label) for sentences, label in sample]
     toxic = [d for d, label in docs if label == 1]
     clean = [d for d, label in docs if label == 0]
@@ -227,7 +230,8 @@ def train(sample: list[tuple[list[str], int]]) -> Machine:
         margin = xp @ weights + bias
         # Clean words outside the negatives that the machine takes for insults join them.
         if rest:
-            wrong = Machine(folded(weights), bias, _NEVER).margins(rest) > -0.5
+            judge = Machine(folded(weights), bias, _NEVER)
+            wrong = np.concatenate([judge.margins(rest[k:k + 10_000]) for k in range(0, len(rest), 10_000)]) > -0.5
             hard = [w for w, bad in zip(rest, wrong) if bad][:NEGATIVES]
             rest = [w for w, bad in zip(rest, wrong) if not bad]
             negative, xn = negative + hard, np.vstack([xn, embed(hard)]) if hard else xn
@@ -235,6 +239,8 @@ def train(sample: list[tuple[list[str], int]]) -> Machine:
     scorer = Scorer(machine)
     found = np.array([scorer.features([w for s in d for w in s]) for d, _ in docs])
     machine.curve = _logistic(found, np.array([label for _, label in docs], float))
+    if odds_of_toxic:
+        machine.curve[-1] += math.log(odds_of_toxic * len(clean) / len(toxic))
     return machine
 
 
@@ -298,7 +304,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
             yield doc_id, sentences_of((text or "")[:SAMPLE_CHARS]), toxic
 
     rows = map_rows(texts, split, "doc_id long, sentences array<string>, toxic int").collect()
-    return train([(r.sentences, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)])
+    counts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    odds = counts[1] / counts[0] if len(counts) == 2 else None
+    return train([(r.sentences, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)], odds)
 
 
 SCORES = "doc_id long, score double, highest_margin double"
