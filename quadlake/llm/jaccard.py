@@ -34,7 +34,7 @@ import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm.graph import components
@@ -55,7 +55,10 @@ BLOCK_GRAMS = 1_000_000
 
 def gram_set(text: str | None, n: int = N) -> np.ndarray:
     """The sorted distinct n-grams of a text."""
-    return np.unique(shingles(WordHashes(text).lower, n)) if text else np.empty(0, np.uint64)
+    grams = np.sort(shingles(WordHashes(text).lower, n)) if text else np.empty(0, np.uint64)
+    fresh = np.ones(len(grams), bool)
+    np.not_equal(grams[1:], grams[:-1], out=fresh[1:])
+    return grams[fresh]
 
 
 def signature(grams: np.ndarray) -> bytes | None:
@@ -67,13 +70,20 @@ def signature(grams: np.ndarray) -> bytes | None:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def text_digest() -> Column:
+    """What names a text as it is written."""
+    return F.unhex(F.sha2("text", 256)).alias("digest")
+
+
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
+    """The size and signature of each document's set, and the digest of its text."""
     def sign(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for doc_id, text in rows:
+        for doc_id, text, digest in rows:
             grams = gram_set(text, n)
-            yield doc_id, len(grams), signature(grams)
+            yield doc_id, len(grams), signature(grams), digest
 
-    return map_rows(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, sig binary")
+    return map_rows(docs.select("doc_id", "text", text_digest()), sign,
+                    "doc_id long, n_shingles long, sig binary, digest binary")
 
 
 @functools.cache
@@ -88,27 +98,29 @@ def classes(percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
+@functools.lru_cache(64)
+def _part_names(m: int) -> np.ndarray:
+    return mix(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m))
+
+
 def part_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     """The keys of a set of sorted n-grams, for each class that a similar set may be of."""
     n, kinds, out = len(grams), classes(percent), []
     first = bisect.bisect_left(kinds, (n,))
     last = bisect.bisect_left(kinds, (100 * n // percent,))
-    hashes = mix(grams + np.uint64(0x632BE59BD9B4E019))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(grams + np.uint64(0x632BE59BD9B4E019)), out=sums[1:])
+    high = grams >> np.uint64(32)
     for _, differences, m in kinds[first:last + 1]:
-        part = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        starts = np.flatnonzero(np.diff(part, prepend=part[:1] - np.uint64(1)))
-        sizes = np.diff(starts, append=n)
-        empty = m - len(starts)
-        for least in range(SMALL_PART, -1, -1):
-            big = sizes >= least
-            if empty * (least > 0) + int(np.count_nonzero(~big)) < m - differences:
-                break
-        held = np.add.reduceat(hashes, starts)[big]
-        number = part[starts][big]
-        if least == 0:
-            lacking = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])
-            held, number = np.append(held, np.zeros(len(lacking), np.uint64)), np.append(number, lacking)
-        out.append(mix(held + mix(number * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m))))
+        part = (high * np.uint64(m)) >> np.uint64(32)
+        sizes = np.bincount(part.view(np.int64), minlength=m)
+        below = np.cumsum(np.bincount(np.minimum(sizes, SMALL_PART), minlength=SMALL_PART)[:SMALL_PART])
+        # Parts smaller than this are left out: fewer than those that must be equal.
+        least = int(np.searchsorted(below, m - differences))
+        ends = np.cumsum(sizes)
+        big = np.flatnonzero(sizes >= least)
+        ends, sizes = ends[big], sizes[big]
+        out.append(mix(sums[ends] - sums[ends - sizes] + _part_names(m)[big]))
     return np.concatenate(out)
 
 
@@ -344,27 +356,19 @@ def _within(blocks: DataFrame, n: int, percent: int, back: bool) -> DataFrame:
 def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
     """The signed documents, and links (src, dst) that connect similar sets."""
     signed = cut(signatures(docs, n))
-    sets = signed.where("sig is not null").groupBy("sig").agg(F.max("n_shingles").alias("n"))
+    sets = signed.where("sig is not null").groupBy("sig").agg(
+        F.max("n_shingles").alias("n"), F.min("digest").alias("digest"))
     families = components(chains(docs, n, percent)).select("node", F.col("label").alias("family"))
     node = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     sized = cut(families.join(sets.withColumn("node", node), "node").drop("node"))
     blocks = (sized.groupBy("family").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks")))
     members = sized.join(blocks, "family").select(
-        "sig", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
+        "sig", "digest", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
 
-    def texts(rows: Iterator[tuple]) -> Iterable[tuple]:
-        seen: set[bytes] = set()
-        for (text,) in rows:
-            sig = signature(gram_set(text, n))
-            if sig is not None and sig not in seen:
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(sig)
-                yield sig, text
-
-    # One text for each set of a family; copies that other tasks sent are equal sets.
-    found = map_rows(docs.select("text"), texts, "sig binary, text string", 512)
-    held = cut(members.join(found, "sig").groupBy("sig", "family", "blocks", "block").agg(F.first("text").alias("text")))
+    # One text for each set of a family, by its digest; each task sends a text once.
+    found = docs.where("text is not null").select(text_digest(), "text").groupBy("digest").agg(
+        F.first("text").alias("text"))
+    held = cut(members.join(found, "digest").drop("digest"))
     plain = held.select("family", "block", F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
                         F.lit(True).alias("probe"), "text")
     joined = cut(_within(plain, n, percent, back=False))
@@ -385,7 +389,7 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     # What is outside a family's largest component meets every block.
     main = (labelled.groupBy("family", "label").count().groupBy("family")
             .agg(F.max(F.struct("count", "label")).alias("main")).select("family", F.col("main.label").alias("main")))
-    rest = (labelled.join(main, "family").where("label <> main").drop("main").join(sets, "sig"))
+    rest = (labelled.join(main, "family").where("label <> main").drop("main").join(sets.select("sig", "n"), "sig"))
     parts = rest.groupBy("family").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts"))
     rest = rest.join(parts, "family").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int"))
     guests = rest.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "sig",

@@ -20,6 +20,10 @@ _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_SOLID = ~_SPACE
+_SHIFTS = np.array([30, 27, 31], np.uint64)
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_STEP = 0xC2B2AE3D27D4EB4F
 
 
 @functools.cache
@@ -30,9 +34,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    out = h >> _SHIFTS[0]
+    out ^= h
+    out *= _MIX[0]
+    out ^= out >> _SHIFTS[1]
+    out *= _MIX[1]
+    out ^= out >> _SHIFTS[2]
+    return out
 
 
 class WordHashes:
@@ -40,10 +48,10 @@ class WordHashes:
 
     def __init__(self, text: str):
         self.data = np.frombuffer(text.encode(), np.uint8)
-        inside = np.zeros(len(self.data) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[self.data]
-        edge = np.diff(inside)
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inside = np.zeros(len(self.data) + 2, bool)
+        inside[1:-1] = _SOLID[self.data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -81,5 +89,5 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     last = len(words) - n + 1
     h = np.full(last, n, np.uint64)
     for k in range(n):
-        h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + words[k:k + last])
-    return h
+        h += words[k:k + last] * np.uint64(pow(_STEP, k + 1, 1 << 64))
+    return mix(h)
