@@ -477,6 +477,7 @@ q("shacl_results_read", BASE + f"""SELECT {RG} AS g, result_id, f AS focus, 'iri
 ROLLED = f"""SELECT r.g, t.o AS class, r.path, r.shape, r.severity, count(DISTINCT result_id) AS count
 FROM r JOIN quads t ON t.g = r.g AND t.s = r.f AND t.p = '{TYPE}' AND t.o IN ({FOUR}) GROUP BY ALL"""
 q("shacl_rollup", BASE + ROLLED)
+q("shacl_rollup_stored", BASE + ROLLED)
 q("shacl_rollup_nested", BASE + f"""SELECT g, class, '[' || string_agg('{{"path":"' || path || '","shape":"' || shape || '","severity":"'
   || severity || '","count":' || count || '}}', ',' ORDER BY path, shape, severity) || ']' AS rows FROM ({ROLLED}) GROUP BY g, class""")
 q("shacl_total", BASE + f"SELECT g, CAST(sum(count) AS BIGINT) AS total_violations FROM ({ROLLED}) GROUP BY g")

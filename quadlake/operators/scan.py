@@ -118,7 +118,12 @@ def after(df: DataFrame, variable: str, last: Mapping[str, str], limit: int) ->
     names = [variable] + [c for c in df.columns if c != variable]
     ranks = [kinds[last[f"{variable}_kind"]]] if len(order) > len(names) else []
     seen = [F.lit(x) for x in ranks] + [F.lit(last[n]).cast(df.schema[n].dataType) for n in names]
-    return page(df.where(F.struct(*order) > F.struct(*seen)), order, limit)
+    # The struct decides; the first condition says less, but reaches the files' statistics.
+    near = F.col(variable) >= last[variable]
+    if ranks:
+        kind = F.col(f"{variable}_kind")
+        near = (near & (kind == last[f"{variable}_kind"])) | kind.isin(*[k for k, r in kinds.items() if r > ranks[0]], "")
+    return page(df.where(near).where(F.struct(*order) > F.struct(*seen)), order, limit)
 
 
 def ask(quads: DataFrame, s: Term | str, p: str, o: Term | str, g: str | None = None) -> DataFrame:

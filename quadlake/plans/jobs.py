@@ -110,6 +110,13 @@ def data_graphs(quads: DataFrame) -> DataFrame:
     return union_of(requests(quads), through).groupBy("g", "input").agg(F.min("data_graph").alias("data_graph"))
 
 
+def result_graphs(quads: DataFrame) -> DataFrame:
+    """(result_graph, data_graph) by the records of validation runs."""
+    records = star(quads, {"result_graph": EXT + "resultGraph"}, RESULT_CLASS)
+    data = path_value(quads, "data_graph", VALIDATED, DATA_GRAPH_OF)
+    return records.join(data, _KEY).select("result_graph", "data_graph").distinct()
+
+
 # -- writing ---------------------------------------------------------------
 
 def request_quads(new: DataFrame, g: str = PUBLIC_GRAPH) -> DataFrame:

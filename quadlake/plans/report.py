@@ -47,6 +47,16 @@ def rollup(results: DataFrame, quads: DataFrame, classes: Sequence[str] = CLASSE
     return focus_classes(per_node, quads, classes).groupBy(*_GROUP).agg(F.sum("n").alias("count"))
 
 
+def of_data_graphs(results: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Results read from result graphs, with the data graph as g; roll them up with keyed=False.
+
+    ``graphs`` is the frame of ``jobs.result_graphs``, a row per run. A result graph
+    without a record has no data graph and is left out.
+    """
+    named = graphs.select(F.col("result_graph").alias("g"), "data_graph")
+    return results.join(named, "g").drop("g").withColumnRenamed("data_graph", "g")
+
+
 def rollup_nested(rolled: DataFrame) -> DataFrame:
     """(g, class, rows): the groups of a class as a list, as long as the shapes make it."""
     row = F.struct("path", "shape", "severity", "count")

@@ -20,7 +20,7 @@ from quadlake.spec import CLASSES, RULES, TYPOS
 from quadlake.streaming import change_feed, drain
 from quadlake.vocab import (
     BUSY, CONTENT, COVERAGE_JOB, COVERAGE_OPERATION, COVERAGE_REPORT, CREATED, DCAT, DCT,
-    FAILED, FOAF, HEADERS, INPUT_CONTAINER, IRI, OPERATION, PUBLIC_GRAPH, RDF_TYPE,
+    FAILED, FOAF, HEADERS, INPUT_CONTAINER, IRI, OPERATION, PUBLIC_GRAPH, RDF_TYPE, REQUEST_PREFIX,
     RESULT_GRAPH_PREFIX, STATUS, SUMMARY_PREFIX, TASK_CLASS, UUID, VALIDATION_OPERATION,
 )
 
@@ -538,6 +538,20 @@ def shacl_rollup(q):
     return report.rollup(_base(q), q)
 
 
+@catalogue
+def shacl_rollup_stored(q):
+    """The roll-up of result graphs that were stored with the records of their runs."""
+    results = _base(q)
+    graph = F.concat(F.lit(RESULT_GRAPH_PREFIX), F.sha2("g", 256))
+    runs = q.select("g").distinct().select(
+        F.col("g").alias("data_graph"), F.sha2("g", 256).alias("id"), graph.alias("result_graph"),
+        F.concat(F.lit(REQUEST_PREFIX), F.sha2("g", 256)).alias("input"), F.lit(None).cast("string").alias("job"),
+        F.lit(True).alias("success"), F.lit("").alias("result_text"))
+    stored = cut(joins.union_of(validation.result_quads(results, graph), job.request_quads(runs), job.record_quads(runs)))
+    read = report.of_data_graphs(validation.results_from_quads(stored), job.result_graphs(stored))
+    return report.rollup(read, q, keyed=False)
+
+
 @catalogue
 def shacl_rollup_nested(q):
     nested = report.rollup_nested(report.rollup(_base(q), q))
