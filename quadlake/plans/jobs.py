@@ -28,8 +28,8 @@ _KEY = ["g", *SUBJECT]
 
 
 def iso(ts: Column) -> Column:
-    """A timestamp as the text of an xsd:dateTime."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """A timestamp as the text of an xsd:dateTime; a fraction of a second only where there is one."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0{1,6}$", "")
 
 
 # -- reading ---------------------------------------------------------------

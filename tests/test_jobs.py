@@ -122,3 +122,9 @@ def test_new_tasks_can_be_read_back(spark):
     assert first.created == dt.datetime(2024, 1, 1) and second.headers is None
     assert jobs.actionable_tasks(q, [COVERAGE_OPERATION]).count() == 2
     assert jobs.task_jobs(q).count() == 2
+
+
+def test_times_keep_fractions(spark):
+    texts = ["2024-05-01T01:00:00", "2024-05-01T01:00:10.5", "2024-05-01T01:00:00.000001", "2024-05-01T10:20:30.12"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(jobs.iso(F.col("t").cast("timestamp")))
+    assert [r[0] for r in got.collect()] == texts
