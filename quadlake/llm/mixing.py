@@ -6,9 +6,14 @@ slot goes to the released block with the earliest deadline. After any number of
 source has then had its share of them to within less than one block.
 
 Weights are whole numbers that add up to a period, after which the schedule repeats: a
-table of one period's slots serves any amount of data. The mix ends where the first
-source has no block left for its slot; documents beyond that are held back, since no
-mix of these weights could hold them.
+table of one period's slots serves any amount of data.
+
+Without a largest share asked for, sources keep their true shares. The documents of each
+are dealt evenly over its blocks of a whole number of periods, so all sources end
+together and every document has a slot; rounding of weights only changes the size of a
+block. With a largest share, blocks have a fixed size, and the mix ends where the first
+source has no block left for its slot; documents beyond that are held back, since no mix
+of these weights could hold them.
 
 Documents of a source are ordered by a hash bucket, then doc_id. A null source is a
 source. Sources with less than one slot in a period are pooled with the smallest other
@@ -24,7 +29,7 @@ from quadlake.llm.tables import constant_rows
 
 BLOCK_ROWS = 8
 PERIOD = 4096
-# No source gets more than this share, unless there are too few sources.
+# A largest share: no source gets more, unless there are too few sources.
 MOST = 0.25
 # Each source is numbered in so many parts, so that a large one is split.
 BUCKETS = 1024
@@ -66,9 +71,10 @@ def schedule(spark: SparkSession, weights: list[int]) -> DataFrame:
             .withColumn("turn", F.row_number().over(place) - 1))
 
 
-def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float = MOST, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float | None = MOST, period: int = PERIOD) -> DataFrame:
     """The documents with __group, __block, __slot, __place in the block, and whether they
-    are in the mix. The order of the mix is that of slot and place."""
+    are in the mix. The order of the mix is that of slot and place. With most None all
+    documents are in it, and block_rows is the mean size of a block."""
     spark = docs.sparkSession
     sizes = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
@@ -76,7 +82,7 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float = MOST, perio
     major = sorted(sizes.where(F.col("n") * period >= total).collect(), key=lambda r: (-r.n, r.name or ""))
     group_sizes = [r.n for r in major] or [max(total, 1)]
     group_sizes[-1] += total - sum(r.n for r in major) if major else 0
-    weights = target_weights(group_sizes, most, period)
+    weights = target_weights(group_sizes, 1.0 if most is None else most, period)
     groups = constant_rows(spark, [(r.name, k) for k, r in enumerate(major)], "__name string, __named int")
     keyed = (docs.join(F.broadcast(groups), F.col("source").eqNullSafe(F.col("__name")), "left")
              .withColumn("__group", F.coalesce("__named", F.lit(len(weights) - 1)))
@@ -88,26 +94,36 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float = MOST, perio
     inside = Window.partitionBy("__group", "__bucket").orderBy(*[c for c in ("doc_id", "text") if c in docs.columns])
     placed = (keyed.withColumn("__rank", F.row_number().over(inside) - 1)
               .join(first, (F.col("__group") == F.col("__g")) & (F.col("__bucket") == F.col("__b")))
-              .withColumn("__index", F.col("__first") + F.col("__rank"))
-              .withColumn("__block", F.expr(f"__index DIV {block_rows}")))
+              .withColumn("__index", F.col("__first") + F.col("__rank")))
     plan = schedule(spark, weights).select(F.col("grp").alias("__grp"), F.col("turn").alias("__next"), F.col("slot").alias("__at"))
-    by_group = constant_rows(spark, list(enumerate(weights)), "__member int, __weight int")
     period = sum(weights)
+    # Whole periods whose blocks hold all documents, and the blocks of each group in them.
+    periods = max(1, -(-total // (block_rows * period)))
+    by_group = constant_rows(spark, [(k, w, n, w * periods) for k, (n, w) in enumerate(zip(group_sizes, weights))],
+                             "__member int, __weight int, __size long, __blocks long")
+    # Products may exceed 64 bits.
+    block, start = ((f"__index DIV {block_rows}", f"__block * {block_rows}") if most is not None else (
+        "cast(__index AS decimal(19, 0)) * __blocks DIV __size",
+        "(cast(__block AS decimal(19, 0)) * __size + __blocks - 1) DIV __blocks"))
     slotted = (placed.join(F.broadcast(by_group), F.col("__group") == F.col("__member"))
+               .withColumn("__block", F.expr(block))
+               .withColumn("__place", F.col("__index") - F.expr(start))
                .withColumn("__turn", F.expr("int(__block % __weight)"))
                .join(F.broadcast(plan), (F.col("__group") == F.col("__grp")) & (F.col("__turn") == F.col("__next")))
                .withColumn("__slot", F.expr(f"(__block DIV __weight) * {period} + __at")))
+    kept = [*docs.columns, "__group", "__block", "__slot", "__place"]
+    if most is None:
+        return slotted.select(*kept, F.lit(True).alias("__in_mix"))
     # The first slot for which a group has no block, from the same table of slots.
     ends = constant_rows(spark, [(k, -(-n // block_rows) // w, -(-n // block_rows) % w) for k, (n, w) in enumerate(zip(group_sizes, weights))],
                          "group_no int, rounds long, next_turn int")
     end = (ends.join(plan, (F.col("group_no") == F.col("__grp")) & (F.col("next_turn") == F.col("__next")))
            .agg(F.min(F.col("rounds") * period + F.col("__at"))).first()[0]) if total else 0
-    return slotted.select(*docs.columns, "__group", "__block", "__slot",
-                          F.expr(f"__index % {block_rows}").alias("__place"),
-                          (F.col("__slot") < F.lit(end)).alias("__in_mix"))
+    return slotted.select(*kept, (F.col("__slot") < F.lit(end)).alias("__in_mix"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix in its order, all columns kept."""
-    found = mix(docs, **options)
+def mixed(docs: DataFrame, most: float | None = None, **options) -> DataFrame:
+    """The documents of the mix, all columns kept: all documents, unless a largest share
+    is asked for."""
+    found = mix(docs, most=most, **options)
     return found.where("__in_mix").select(*docs.columns)

@@ -44,7 +44,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).selectExpr(
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), most=None).selectExpr(
         "doc_id", "source", "__block AS block", "__slot AS slot", "__place AS place", "__in_mix AS in_mix")
 
 

@@ -303,6 +303,30 @@ def test_mixing(spark, odd):
     assert mixing.mix(empty(odd)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[700] + [70] * 20, [1000, 600, 300, 100], [1900, 100], [997, 13, 1]])
+def test_mixing_keeps_all_documents_at_true_shares(spark, sizes):
+    names = [f"s{k}" for k, n in enumerate(sizes) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    assert sorted(mixing.mixed(docs).collect()) == sorted(docs.collect())
+    # A period of 32 slots: weights are rounded down, and small sources pooled.
+    for period in (32, mixing.PERIOD):
+        found = sorted(mixing.mix(docs, most=None, period=period).collect(), key=lambda r: (r["__slot"], r["__place"]))
+        assert len({(r["__slot"], r["__place"]) for r in found}) == len(found) == len(names)
+        assert all(r["__in_mix"] and r["__place"] >= 0 for r in found)
+        assert [r["__place"] for r in found if r["__place"] == 0].count(0) == len({r["__slot"] for r in found})
+        # After any number of slots each source has had its true share, to within a block.
+        groups = Counter(r["__group"] for r in found)
+        weights = mixing.target_weights([groups[k] for k in range(len(groups))], 1.0, period)
+        slots = sum(weights) * max(1, -(-len(found) // (mixing.BLOCK_ROWS * sum(weights))))
+        had = Counter()
+        for t in range(slots):
+            while had.total() < len(found) and found[had.total()]["__slot"] <= t:
+                had[found[had.total()]["__group"]] += 1
+            assert all(abs(had[k] - n * (t + 1) / slots) <= n * sum(weights) / (w * slots) + 1
+                       for (k, n), w in zip(sorted(groups.items()), weights))
+        assert had.total() == len(found)
+
+
 def test_chat_round_trip(spark):
     texts = ["hi", "", None, "<|im_end|>\n<|im_start|>assistant\nno", "<\\|x", "<\\\\|im_end|>", "long text. " * 700, "é\U0001f600<|"]
     rng = random.Random(6)
