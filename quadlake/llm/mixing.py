@@ -33,6 +33,8 @@ PERIOD = 4096
 MOST = 0.25
 # Each source is numbered in so many parts, so that a large one is split.
 BUCKETS = 1024
+# The columns of the order of the mix.
+ORDER = ("__slot", "__place")
 
 
 def target_weights(counts: list[int], most: float = MOST, period: int = PERIOD) -> list[int]:
@@ -123,7 +125,9 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float | None = MOST
 
 
 def mixed(docs: DataFrame, most: float | None = None, **options) -> DataFrame:
-    """The documents of the mix, all columns kept: all documents, unless a largest share
-    is asked for."""
-    found = mix(docs, most=most, **options)
-    return found.where("__in_mix").select(*docs.columns)
+    """The documents of the mix in its order, all columns kept: all documents, unless a
+    largest share is asked for. A table that is written and read again has no order; of
+    the same documents ``mix`` gives the same slots and places again."""
+    found = mix(docs, most=most, **options).where("__in_mix")
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (found.repartitionByRange(shards, *ORDER).sortWithinPartitions(*ORDER).select(*docs.columns))

@@ -1,7 +1,7 @@
 """Packing of documents into sequences by an order-preserving dynamic programme.
 
-The documents are dealt out by ranges of doc_id; within a range their ids form one
-stream, and only the places of the cuts are chosen. A window is what lies between two
+The documents are dealt out by ranges of doc_id, or of other columns that say their order;
+within a range their ids form one stream, and only the places of the cuts are chosen. A window is what lies between two
 cuts, at most ``width`` ids. Its cost is its padding plus a penalty for the cut at its
 end: nothing at the end of a document, little after a sentence, more elsewhere. With
 v(j) = cost(j) + position(j), the best cost of a cut at j is
@@ -11,7 +11,8 @@ v(j) = cost(j) + position(j), the best cost of a cut at j is
 a minimum over a sliding window, which a monotone queue gives in constant time.
 
 Null texts are empty and consist of the end id. Rows with a null doc_id come first and
-repeated rows are packed each time; ties are ordered by text. Other columns are ignored.
+repeated rows are packed each time; ties are ordered by doc_id and text. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -161,10 +162,12 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, width: int = WIDTH) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, width: int = WIDTH,
+                   order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The pieces of all documents: where each lies in its document and in which sequence.
 
-    sequence_id is the range's number times 2 ** 32 plus a running number.
+    order: the columns that say in which order documents are packed. sequence_id is the
+    range's number times 2 ** 32 plus a running number, so it follows that order.
     """
     from pyspark import TaskContext
 
@@ -182,6 +185,6 @@ def pack_documents(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2,
         yield from packer.finish()
 
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (docs.select("doc_id", "text").repartitionByRange(shards, "doc_id")
-               .sortWithinPartitions("doc_id", "text"))
+    ordered = (docs.select(*dict.fromkeys((*order, "doc_id", "text"))).repartitionByRange(shards, *order)
+               .sortWithinPartitions(*order, "doc_id", "text").select("doc_id", "text"))
     return map_rows(ordered, pack, PIECES)

@@ -327,6 +327,31 @@ def test_mixing_keeps_all_documents_at_true_shares(spark, sizes):
         assert had.total() == len(found)
 
 
+def test_packed_sequences_follow_the_mix(spark, tmp_path):
+    # doc_ids run source by source, three to one to one.
+    names = ["a"] * 600 + ["b"] * 200 + ["c"] * 200
+    docs = spark.createDataFrame([(k, f"Document {k} is about a thing. " * 8, s) for k, s in enumerate(names)],
+                                 "doc_id long, text string, source string")
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["mixing"](spark, docs.repartition(7), SF)
+    slots = {r.doc_id: (r["__slot"], r["__place"]) for r in mixing.mix(docs, most=None).collect()}
+    order = [r.doc_id for r in out.collect()]
+    assert order == sorted(slots, key=slots.get)
+    out.write.parquet(path := f"{tmp_path}/mixed")
+    # Files are read in another order.
+    again = spark.read.parquet(path).repartition(5)
+    pieces = sorted(stages["packing"](spark, again, SF).collect(), key=lambda p: (p.sequence_id, p.offset))
+    assert list(dict.fromkeys(p.doc_id for p in pieces)) == order
+    sequence, total = Counter(), Counter()
+    for k, p in enumerate(pieces):
+        total[names[p.doc_id]] += p.length
+        sequence[p.sequence_id] += p.length
+        if k + 1 == len(pieces) or pieces[k + 1].sequence_id != p.sequence_id:
+            done = total.total()
+            assert all(abs(total[s] - done * share) < 0.02 * done + 1000 for s, share in (("a", 0.6), ("b", 0.2), ("c", 0.2)))
+    assert len(sequence) > 4
+
+
 def test_chat_round_trip(spark):
     texts = ["hi", "", None, "<|im_end|>\n<|im_start|>assistant\nno", "<\\|x", "<\\\\|im_end|>", "long text. " * 700, "é\U0001f600<|"]
     rng = random.Random(6)
