@@ -1,8 +1,8 @@
 """URL rules found by their rarest literal token.
 
 A rule is a regular expression over host and path, with the literal tokens that every
-match contains. It is indexed by the one of its tokens that the fewest URLs have. The
-tokens of a URL fetch the rules indexed by them, and only those expressions run. A rule
+match contains. It is indexed by the one of its tokens that the fewest URLs have; a rule
+whose matches contain one of several tokens is indexed by each of those. The tokens of a URL fetch the rules indexed by them, and only those expressions run. A rule
 without a literal token is indexed by the empty token, which every URL has.
 
 Only distinct (host, path) pairs are judged. A null URL, or one without "://", has an
@@ -30,6 +30,7 @@ class Rule:
     tokens: tuple[str, ...]
     verdict: str
     rank: int  # among rules that match, the highest decides
+    either: tuple[str, ...] = ()  # every match contains at least one of these
 
 
 def prefix_rule(host: str, path: str, verdict: str) -> Rule:
@@ -41,9 +42,9 @@ def prefix_rule(host: str, path: str, verdict: str) -> Rule:
     return Rule(host + path, pattern, tuple(tokens), verdict, 1_000_000 + len(host + path))
 
 
-def pattern_rule(pattern: str, tokens: Iterable[str], verdict: str) -> Rule:
+def pattern_rule(pattern: str, tokens: Iterable[str], verdict: str, either: Iterable[str] = ()) -> Rule:
     """A pattern of the method itself: it decides where no prefix rule does."""
-    return Rule("", pattern, tuple(tokens), verdict, 0)
+    return Rule("", pattern, tuple(tokens), verdict, 0, tuple(either))
 
 
 # The rules of the query.
@@ -56,7 +57,7 @@ HOST_RULES = [
 ]
 METHOD_RULES = [
     pattern_rule(r"^(?:[^/]*[.-])?casino[.-][^/]*/", ["casino"], "block"),
-    pattern_rule(r"^(?:[^/]*[.-])?bets?[.-][^/]*/", ["bets"], "block"),
+    pattern_rule(r"^(?:[^/]*[.-])?bets?[.-][^/]*/", (), "block", either=["bet", "bets"]),
     pattern_rule(r"^(?:[^/]*[.-])?pills[.-][^/]*/", ["pills"], "block"),
     pattern_rule(r"^(?:[^/]*[.-])?ads-track[.-][^/]*/", ["ads", "track"], "block"),
 ]
@@ -82,9 +83,10 @@ def tokens_of(host: Column, path: Column) -> Column:
 
 
 def rule_index(spark: SparkSession, rules: list[Rule], urls: DataFrame) -> DataFrame:
-    """Rules with the token that fetches them: the rarest among the given URLs' tokens."""
+    """Rules with the tokens that fetch them: the rarest of its tokens among the given
+    URLs' tokens, else each of its alternatives."""
     named = constant_rows(spark, [(r.rule, r.pattern, r.verdict, r.rank, k) for k, r in enumerate(rules)], RULES)
-    tokens = constant_rows(spark, [(k, t) for k, r in enumerate(rules) for t in (r.tokens or ("",))],
+    tokens = constant_rows(spark, [(k, t) for k, r in enumerate(rules) for t in r.tokens or ("",) * (not r.either)],
                          "rule_id int, token string")
     # Only tokens of rules are counted.
     counts = (urls.select(F.explode("tokens").alias("token"))
@@ -92,7 +94,9 @@ def rule_index(spark: SparkSession, rules: list[Rule], urls: DataFrame) -> DataF
     rarest = (tokens.join(counts, "token", "left").groupBy("rule_id")
               .agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("least"))
               .select("rule_id", F.col("least.token").alias("token")))
-    return named.join(rarest, "rule_id")
+    either = constant_rows(spark, [(k, t) for k, r in enumerate(rules) if not r.tokens for t in r.either],
+                           "rule_id int, token string")
+    return named.join(rarest.unionByName(either), "rule_id")
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = DEFAULT, key: str = "page_id") -> DataFrame:

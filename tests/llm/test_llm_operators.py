@@ -271,6 +271,17 @@ def test_url_rules(spark):
     assert every.where("verdict = 'block'").count() == 10
 
 
+def test_url_index_fetches_what_each_pattern_matches(spark):
+    hosts = [f"{a}{word}{b}" for word in ("casino", "bet", "bets", "pills", "ads-track", "ads", "org", "example.org", "com", "better")
+             for a in ("", "free-", "m.", "x") for b in (".example.com", "-1.net", "", "x.org")]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/en/1", "/es/x", "/fr/", "/de/", "/", "")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").cache()
+    for rule in url_filter.HOST_RULES + url_filter.METHOD_RULES:
+        got = {r.page_id for r in url_filter.judge(pages, [rule], default="none").where("verdict <> 'none'").collect()}
+        want = {k for k, u in enumerate(urls) if re.search(rule.pattern, u.removeprefix("http://"))}
+        assert got == want and want, rule.pattern
+
+
 def test_schedule_keeps_within_a_block(spark):
     rng = random.Random(4)
     for weights in ([1], [5, 1], [50, *[1] * 50], [rng.randrange(1, 40) for _ in range(12)]):
