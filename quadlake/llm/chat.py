@@ -5,7 +5,8 @@ A window is text in the template
     <|im_start|>role \\n text <|im_end|> \\n   for each turn,
 
 with a mask: (start, end) code points of what is trained on. Windows hold whole turns.
-Prefix sums of the turns' tokens say how far a window reaches; each new window repeats
+Running sums of the turns' tokens, which are counted where the turns are read, say how far
+a window reaches: turns are streamed, and no conversation is held whole. Each new window repeats
 the leading system turn and a limited history, and repeated targets are not masked in
 again, so each assistant text is trained on exactly once. A turn that is larger than the
 budget alone gets a window of its own, which is then over budget.
@@ -21,18 +22,19 @@ own. Other columns are ignored. An empty table gives no windows.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import itertools
 import re
 import uuid
+from collections import deque
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadlake.llm.encode import BYTE_BPE, encoder
-from quadlake.llm.tables import map_rows
+from quadlake.llm.tables import arrow_schema, map_rows, parts
 from quadlake.session import checkpoint_folder
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -62,27 +64,50 @@ def unescape_role(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
+def open_windows(turns: Iterable[tuple], budget: int = BUDGET, history: int = HISTORY) -> Iterator[tuple[list[tuple], int]]:
+    """The turns of each window and how many of them are repeated, from (role, text, tokens)
+    in order. Held are the leading system turn, the history and the open window only."""
+    head: tuple | None = None
+    shown: list[tuple] = []
+    past: deque[tuple] = deque()  # the last turns that the history may hold
+    used = repeated = past_tokens = 0
+    for turn in turns:
+        tokens = turn[2]
+        if shown and used + tokens > budget:
+            yield shown, repeated
+            # As much history as its allowance holds, but room for the next turn.
+            used = head[2] if head else 0
+            allowance = max(0, min(history, budget - used - tokens))
+            again: list[tuple] = []
+            for old in reversed(past):
+                if old[2] > allowance:
+                    break
+                allowance -= old[2]
+                used += old[2]
+                again.append(old)
+            shown = [head] * (head is not None) + again[::-1]
+            repeated = len(shown)
+        elif not shown and turn[0] == "system":
+            head = turn
+        shown.append(turn)
+        used += tokens
+        if turn is not head:
+            past.append(turn)
+            past_tokens += tokens
+            while past_tokens > history:
+                past_tokens -= past.popleft()[2]
+    if shown:
+        yield shown, repeated
+
+
 def spans(tokens: list[int], system: bool, budget: int = BUDGET, history: int = HISTORY) -> list[tuple[int, int, int]]:
     """(first repeated, first new, end) turns of each window.
 
     With a system turn at 0, that turn is repeated as well in all but the first window.
     """
-    sums = [0, *itertools.accumulate(tokens)]
-    head = tokens[0] if system else 0
-    out, new = [], 0
-    while new < len(tokens):
-        first = new
-        if out:
-            # As much history as its allowance holds, but room for the next turn.
-            allowance = min(history, budget - head - tokens[new])
-            first = max(bisect.bisect_left(sums, sums[new] - max(0, allowance)), int(system))
-            first = min(first, new)
-        used = (head if out else 0) - sums[first]
-        end = max(new + 1, bisect.bisect_right(sums, budget - used) - 1)
-        end = min(end, len(tokens))
-        out.append((first, new, end))
-        new = end
-    return out
+    turns = (("system" if system and k == 0 else "", k, n) for k, n in enumerate(tokens))
+    return [(shown[system and repeated > 0][1], shown[repeated][1], shown[-1][1] + 1)
+            for shown, repeated in open_windows(turns, budget, history)]
 
 
 def format_turns(turns: list[tuple[str, str]], trained: set[int]) -> tuple[str, list[tuple[int, int]]]:
@@ -101,14 +126,12 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
     return [(unescape_role(m[1]), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-def windows_of(turns: list[tuple[str, str]], tokens: list[int], budget: int, history: int) -> Iterator[tuple]:
+def windows_of(turns: Iterable[tuple], budget: int, history: int) -> Iterator[tuple]:
     """(text, mask, repeated turns) of each window of a conversation."""
-    system = bool(turns) and turns[0][0] == "system"
-    for first, new, end in spans(tokens, system, budget, history):
-        shown = [0] * (system and new > 0) + list(range(first, end))
-        trained = {k for k, i in enumerate(shown) if i >= new and turns[i][0] == TRAINED}
-        text, mask = format_turns([turns[i] for i in shown], trained)
-        yield text, mask, len(shown) - (end - new)
+    for shown, repeated in open_windows(turns, budget, history):
+        trained = {k for k in range(repeated, len(shown)) if shown[k][0] == TRAINED}
+        text, mask = format_turns([(role, body) for role, body, _ in shown], trained)
+        yield text, mask, repeated
 
 
 WINDOWS = "conv_id long, window int, text string, mask array<int>, repeated int, tokens long"
@@ -118,19 +141,44 @@ def format_conversations(conversations: DataFrame, tokenizer: str = BYTE_BPE, bu
                          history: int = HISTORY) -> DataFrame:
     """The windows of all conversations. mask holds start, end, start, end and so on."""
     def build(rows: Iterator[tuple]) -> Iterable[tuple]:
-        ids_of = encoder(tokenizer)
         for conv_id, group in itertools.groupby(rows, key=lambda r: r[0]):
-            turns = [(role or "", text or "") for _, role, text in group]
-            tokens = [len(x) + FRAME_TOKENS for x in ids_of.encode_all(escape(t) for _, t in turns)]
-            for k, (text, mask, repeated) in enumerate(windows_of(turns, tokens, budget, history)):
-                yield conv_id, k, text, [p for m in mask for p in m], repeated, sum(tokens)
+            total = 0
+
+            def turns() -> Iterator[tuple]:
+                nonlocal total
+                for _, role, text, tokens, total in group:
+                    yield role or "", text or "", tokens
+
+            for k, (text, mask, repeated) in enumerate(windows_of(turns(), budget, history)):
+                yield conv_id, k, text, [p for m in mask for p in m], repeated, total
 
     shards = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (conversations.select("conv_id", "turn", "role", "text").repartition(shards, "conv_id")
-               .sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text"))
+    # The sum spills where a conversation is long; the turns are then streamed in order.
+    summed = (count_tokens(conversations, tokenizer).repartition(shards, "conv_id")
+              .withColumn("total", F.sum("tokens").over(Window.partitionBy("conv_id"))))
+    ordered = (summed.sortWithinPartitions("conv_id", "turn", "role", "text")
+               .select("conv_id", "role", "text", "tokens", "total"))
     return map_rows(ordered, build, WINDOWS, 256)
 
 
+COUNTED = "conv_id long, turn long, role string, text string, tokens long"
+
+
+def count_tokens(conversations: DataFrame, tokenizer: str = BYTE_BPE) -> DataFrame:
+    """The turns with their tokens, counted where they are read."""
+    schema = arrow_schema(COUNTED)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = encoder(tokenizer)
+        for part in (p for b in batches for p in parts(b)):
+            texts = (escape(t or "") for t in part.column(3).to_pylist())
+            tokens = pa.array([len(x) + FRAME_TOKENS for x in ids_of.encode_all(texts)], pa.int64())
+            columns = [c.cast(f.type) for c, f in zip(part.columns, schema)]
+            yield pa.RecordBatch.from_arrays([*columns, tokens], schema=schema)
+
+    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(count, COUNTED)
+
+
 DIGESTS = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
            "formatted_chars long, n_windows long")
 

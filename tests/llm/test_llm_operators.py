@@ -402,6 +402,58 @@ def test_chat_spans():
             assert sum(tokens[first:new]) <= 60
 
 
+def spans_by_sums(tokens, system, budget, history):
+    """The windows with all prefix sums at hand."""
+    sums = [sum(tokens[:k]) for k in range(len(tokens) + 1)]
+    head, out, new = tokens[0] if system else 0, [], 0
+    while new < len(tokens):
+        first, left = new, budget
+        if out:
+            left -= head
+            allowance = max(0, min(history, left - tokens[new]))
+            first = next(k for k in range(min(int(system), new), new + 1) if sums[new] - sums[k] <= allowance)
+        end = max([new + 1, *(k for k in range(new, len(sums)) if sums[k] - sums[first] <= left)])
+        out.append((first, new, end))
+        new = end
+    return out
+
+
+def test_chat_windows_hold_a_bounded_stretch():
+    rng = random.Random(9)
+    for _ in range(300):
+        tokens = [rng.choice([16, 20, 90, 300]) for _ in range(rng.randrange(1, 40))]
+        for system in (False, True):
+            assert chat.spans(tokens, system, 200, 60) == spans_by_sums(tokens, system, 200, 60)
+    taken, alive = 0, Counter()
+
+    class Text(str):
+        def __del__(self):
+            alive["now"] -= 1
+
+    def turns():
+        nonlocal taken
+        for k in range(20_000):
+            taken += 1
+            alive["now"] += 1
+            alive["most"] = max(alive["most"], alive["now"])
+            yield "system" if k == 0 else "user", Text(f"turn {k}"), 20
+
+    for n, (text, _, repeated) in enumerate(chat.windows_of(turns(), 1024, 256)):
+        assert taken <= 60 * (n + 1)
+    assert taken == 20_000 and n > 400 and alive["most"] < 200
+
+
+def test_chat_hot_and_null_conversation(spark):
+    rows = [(None if k % 3 else 7, k, "assistant" if k % 2 else "user", f"turn {k} <|x") for k in range(3000)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    ids_of = encode.encoder(encode.BYTE_BPE)
+    for conv_id, found in ((c, [r for r in chat.format_conversations(talk).collect() if r.conv_id == c]) for c in (None, 7)):
+        found.sort(key=lambda r: r.window)
+        said = [(r[2], r[3]) for r in rows if r[0] == conv_id]
+        assert [t for r in found for t in chat.parse_turns(r.text)[r.repeated:]] == said
+        assert {r.tokens for r in found} == {sum(len(ids_of.encode(chat.escape(t))) + chat.FRAME_TOKENS for _, t in said)}
+
+
 def test_quality_base_features():
     rng = random.Random(8)
     for _ in range(200):
