@@ -421,6 +421,24 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, bloc
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the first of their component, all columns kept."""
-    gone = jaccard_components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component, all columns kept: that of the smallest doc_id (null last),
+    then of the smallest signature and digest, then any one of what are repeated rows."""
+    signed, joined = set_links(docs, n, percent)
+    worded = signed.where("sig is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sig", "digest")
+    labels = components(joined).select(F.col("node").alias("sig"), "label")
+    named = (worded.groupBy("sig").agg(F.min(order).alias("least")).join(labels, "sig", "left")
+             .select("sig", "least", F.coalesce("label", "sig").alias("label")))
+    first = named.select("sig", "label").join(named.groupBy("label").agg(F.min("least").alias("first")), "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    gone = worded.join(first, "sig").where(~stays).select(
+        F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone")).distinct()
+    rows = docs.withColumn("__digest", text_digest())
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    repeated = cut(worded.groupBy(F.col("doc_id").alias("__more_id"), F.col("digest").alias("__more")).count()
+                   .where("count > 1").select("__more_id", "__more"))
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    again = F.col("doc_id").eqNullSafe(F.col("__more_id")) & (F.col("__digest") == F.col("__more"))
+    once = left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return left.join(repeated, again, "left_anti").unionByName(once).select(*docs.columns)

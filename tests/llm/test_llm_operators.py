@@ -228,6 +228,19 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.jaccard_components(empty(odd)).count() == 0
 
 
+def test_near_copies_go_by_row(spark):
+    near = [" ".join(f"{w}{k}" for k in range(60)) for w in "ab"]
+    rows = [(1, near[0]), (2, near[0] + " end"), (2, "another text of its own"),  # a near copy and another under one id
+            (3, near[1]), (3, near[1] + " end"),  # two near copies under one id
+            (None, "x" + near[0]), (None, "x" + near[0] + " end"), (None, None), (9, " "), (9, " "),
+            (4, "a text that is repeated"), (4, "a text that is repeated")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, digest string")
+    kept = jaccard.drop_near_copies(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "")[:3]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, "a0 "), (2, "ano"), (3, "b0 "), (None, ""), (9, " "), (9, " "), (4, "a t")], key=repr)
+
+
 def test_exact_dedup(spark, odd):
     for docs in (odd, documents(spark)):
         rows = docs.select("doc_id", "text").collect()
