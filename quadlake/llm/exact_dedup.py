@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadlake.llm.screen import screened
+from quadlake.session import cut
+
 # Code points of a chunk; beyond the least, a chunk ends at a boundary character.
 LEAST, MOST = 256, 2048
 _CHUNK = rf"(?s).{{{LEAST},{MOST - 1}}}?[bfkvwz\p{{Punct}}\p{{Nd}}\p{{Lu}}]|.{{1,{MOST}}}"
@@ -60,12 +63,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, all columns kept."""
-    kept = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"), F.col("n_chars").alias("__kept_chars"))
-    rows = docs.withColumns({"__sha": F.sha2(normalised(F.col("text")), 256),
-                             "__chars": F.char_length(F.coalesce("text", F.lit("")))})
-    same = (rows["doc_id"].eqNullSafe(kept["__kept_id"]) & (rows["__sha"] == kept["__kept_sha"])
-            & (rows["__chars"] == kept["__kept_chars"]))
-    # Repeated rows of one id are one document.
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha", "__chars"]).select(*docs.columns)
+    """One document of each group, all columns kept. Only rows that may go are moved.
+
+    Repeated rows of one id are one document. Columns of docs must not start with two underscores.
+    """
+    key = ["doc_id", "text_sha256", "n_chars"]
+    keys = cut(exact_groups(docs).groupBy(*key).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    doubtful, clear = screened(docs, "doc_id", keys)
+    rows = doubtful.withColumns({"__sha": F.sha2(normalised(F.col("text")), 256),
+                                 "__chars": F.char_length(F.coalesce("text", F.lit("")))})
+
+    def is_one_of(few: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(few["doc_id"]) & (rows["__sha"] == few["text_sha256"]) & (rows["__chars"] == few["n_chars"])
+
+    stays = rows.join(keys, is_one_of(keys), "left_anti")
+    # A repeated row that stays, once.
+    again = keys.where("kept")
+    once = rows.join(again, is_one_of(again), "left_semi").dropDuplicates(["doc_id", "__sha", "__chars"])
+    return clear.unionByName(stays.unionByName(once).select(*docs.columns))

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm.graph import components
+from quadlake.llm.screen import screened
 from quadlake.llm.tables import map_rows
 from quadlake.llm.words import WordHashes, mix, shingles
 from quadlake.session import cut
@@ -51,6 +52,8 @@ SMALL_PART = 4
 # Postings held in a task, and n-grams of a block: bounds of memory.
 HELD = 2_000_000
 BLOCK_GRAMS = 1_000_000
+# N-grams whose postings make a bucket of keys, about 16 bytes for each.
+BUCKET_GRAMS = 8_000_000
 
 
 def gram_set(text: str | None, n: int = N) -> np.ndarray:
@@ -140,9 +143,14 @@ def node_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "big", signed=True)
 
 
-def chains(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Edges (src, dst) between nodes, enough to connect all sets that are similar."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def chains(docs: DataFrame, n_grams: int, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Edges (src, dst) between nodes, enough to connect all sets that are similar.
+
+    n_grams is how many n-grams there are in all. Keys are dealt to so many buckets that
+    the postings of one stay within bounds; a task takes its buckets one after the other.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = tasks * max(1, -(-n_grams // (tasks * BUCKET_GRAMS)))
 
     def post(rows: Iterator[tuple]) -> Iterable[tuple]:
         keys, nodes, size, seen = [], [], 0, set()
@@ -188,7 +196,7 @@ def chains(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                 yield from map(tuple, _stars(np.concatenate(keys), np.concatenate(nodes))[2].tolist())
 
     posted = map_rows(docs.select("text"), post, "bucket int, a binary, b binary, edges boolean", 1)
-    dealt = posted.repartition(shards, "bucket").sortWithinPartitions("bucket")
+    dealt = posted.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
     return map_rows(dealt, meet, "src long, dst long").distinct()
 
 
@@ -357,18 +365,21 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     """The signed documents, and links (src, dst) that connect similar sets."""
     signed = cut(signatures(docs, n))
     sets = signed.where("sig is not null").groupBy("sig").agg(
-        F.max("n_shingles").alias("n"), F.min("digest").alias("digest"))
-    families = components(chains(docs, n, percent)).select("node", F.col("label").alias("family"))
+        F.max("n_shingles").alias("n"), F.min(F.struct("digest", "doc_id")).alias("one"))
+    n_grams = signed.agg(F.sum("n_shingles")).first()[0] or 0
+    families = components(chains(docs, n_grams, n, percent)).select("node", F.col("label").alias("family"))
     node = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     sized = cut(families.join(sets.withColumn("node", node), "node").drop("node"))
     blocks = (sized.groupBy("family").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks")))
     members = sized.join(blocks, "family").select(
-        "sig", "digest", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
-
-    # One text for each set of a family, by its digest; each task sends a text once.
-    found = docs.where("text is not null").select(text_digest(), "text").groupBy("digest").agg(
-        F.first("text").alias("text"))
-    held = cut(members.join(found, "digest").drop("digest"))
+        "sig", "one", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"))
+
+    # One text for each set of a family, by a row's id and digest. Texts outside families stay where they are.
+    chosen = cut(members.select("sig", "family", "blocks", "block", F.col("one.doc_id").alias("one_id"), F.col("one.digest").alias("one")))
+    near, _ = screened(docs.where("text is not null").select("doc_id", "text"), "doc_id", chosen.select(F.col("one_id").alias("doc_id")))
+    texts = near.select("doc_id", text_digest(), "text")
+    held = cut(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one")))
+               .groupBy("sig", "family", "blocks", "block").agg(F.first("text").alias("text")))
     plain = held.select("family", "block", F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
                         F.lit(True).alias("probe"), "text")
     joined = cut(_within(plain, n, percent, back=False))
@@ -431,14 +442,18 @@ def drop_near_copies(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Dat
              .select("sig", "least", F.coalesce("label", "sig").alias("label")))
     first = named.select("sig", "label").join(named.groupBy("label").agg(F.min("least").alias("first")), "label")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    gone = worded.join(first, "sig").where(~stays).select(
-        F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone")).distinct()
-    rows = docs.withColumn("__digest", text_digest())
-    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
-    repeated = cut(worded.groupBy(F.col("doc_id").alias("__more_id"), F.col("digest").alias("__more")).count()
-                   .where("count > 1").select("__more_id", "__more"))
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    again = F.col("doc_id").eqNullSafe(F.col("__more_id")) & (F.col("__digest") == F.col("__more"))
-    once = left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return left.join(repeated, again, "left_anti").unionByName(once).select(*docs.columns)
+    gone = worded.join(first, "sig").where(~stays).select("doc_id", "digest").distinct()
+    again = worded.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest")
+    # Rows that go, or that are there several times; all others stay where they are.
+    keys = cut(gone.withColumn("goes", F.lit(True)).unionByName(again.withColumn("goes", F.lit(False)))
+               .groupBy("doc_id", "digest").agg(F.max("goes").alias("goes")))
+    doubtful, clear = screened(docs, "doc_id", keys)
+    rows = doubtful.withColumn("__digest", text_digest())
+
+    def is_one_of(few: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(few["doc_id"]) & rows["__digest"].eqNullSafe(few["digest"])
+
+    left = rows.join(keys, is_one_of(keys), "left_anti")
+    twice = keys.where("not goes")
+    once = rows.join(twice, is_one_of(twice), "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return clear.unionByName(left.unionByName(once).select(*docs.columns))

@@ -25,7 +25,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.llm.tables import arrow_schema, emit, map_rows, parts
+from quadlake.session import cut
 
 DECAY = 0.6
 MAX_GAP = 3  # letters between neighbours of a triple
@@ -42,7 +43,8 @@ LANDMARKS = 192
 THRESHOLD = 0.7
 # The classifier is fitted on at most so many labelled documents of each class, by hash.
 SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 20_000
+# Words of a kind the machine is fitted on: the commonest clean ones, then in each round the
+# clean ones it takes for insults, and disguises of telling ones. A bound of the fit only.
 NEGATIVES = 5_000
 ROUNDS = 3
 # A word tells the classes apart from this likelihood ratio on.
@@ -166,25 +168,39 @@ def _inserted(word: str) -> list[str]:
 
 
 def train(sample: list[tuple[list[str], int]], odds_of_toxic: float | None = None) -> Machine:
-    """Fit on (sentences as words joined by blanks, label) of documents.
+    """Fit on (sentences as words joined by blanks, label) of documents held in memory."""
+    docs = [([s.split() for s in sentences], label) for sentences, label in sample]
+    counts = [Counter(w for d, label in docs if label == t for w in {w for s in d for w in s}) for t in (1, 0)]
+    sizes = [sum(label == t for _, label in docs) for t in (1, 0)]
+
+    def hits(index: dict[str, int]) -> Counter:
+        return Counter(tuple(found) for d, label in docs if label == 1 for s in d if (found := sorted({index[w] for w in s if w in index})))
+
+    def found(machine: Machine) -> tuple[np.ndarray, np.ndarray]:
+        scorer = Scorer(machine)
+        return np.array([scorer.features([w for s in d for w in s]) for d, _ in docs]), np.array([t for _, t in docs], float)
+
+    return learn(*counts, *sizes, hits, found, odds_of_toxic)
+
 
-    odds_of_toxic: toxic to clean documents among all labels, if the sample differs.
+def learn(in_toxic: Counter, in_clean: Counter, n_toxic: int, n_clean: int, hits: Callable[[dict[str, int]], Counter],
+          found: Callable[[Machine], tuple[np.ndarray, np.ndarray]], odds_of_toxic: float | None = None) -> Machine:
+    """Fit from how many documents of each kind have a word.
+
+    hits: how often each combination of the given words makes up what a toxic sentence has
+    of them. found: features of the labelled documents, and their labels. odds_of_toxic:
+    toxic to clean documents among all labels, if the sample differs.
     """
-    docs = [([s.split() for s in sentences], label) for sentences, label in sample]
-    toxic = [d for d, label in docs if label == 1]
-    clean = [d for d, label in docs if label == 0]
-    if not toxic or not clean:
+    if not n_toxic or not n_clean:
         return Machine(np.zeros(BUCKETS), 0.0, _NEVER)
-    in_toxic = Counter(w for d in toxic for w in {w for s in d for w in s})
-    in_clean = Counter(w for d in clean for w in {w for s in d for w in s})
 
     def odds(w: str) -> float:
-        return float(np.log((in_toxic[w] + 0.1) / len(toxic)) - np.log((in_clean[w] + 0.5) / len(clean)))
+        return float(np.log((in_toxic[w] + 0.1) / n_toxic) - np.log((in_clean[w] + 0.5) / n_clean))
 
     def surprise(w: str) -> float:
         """Twice the log-likelihood ratio of a word's split between the classes."""
         t, c = in_toxic[w], in_clean[w]
-        expected = (t + c) * len(toxic) / len(docs)
+        expected = (t + c) * n_toxic / (n_toxic + n_clean)
         return 2 * (t * np.log(t / expected) + (c * np.log(c / (t + c - expected)) if c else 0.0))
 
     # What marks out few documents may do so by chance.
@@ -199,6 +215,7 @@ def train(sample: list[tuple[list[str], int]], odds_of_toxic: float | None = Non
     kept = values > 1e-6 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])  # K_ll ** -1/2 up to a rotation
     fold = base.T @ root
+
     def embed(words: list[str]) -> np.ndarray:
         return np.vstack([_dense(words[k:k + 1000], columns) @ fold for k in range(0, len(words), 1000)])
 
@@ -209,7 +226,7 @@ def train(sample: list[tuple[list[str], int]], odds_of_toxic: float | None = Non
 
     pool = sorted(telling)
     index = {w: k for k, w in enumerate(pool)}
-    sentences = [hits for d in toxic for s in d if (hits := sorted(index[w] for w in set(s) & telling))]
+    sentences = hits(index)
     if not sentences:
         return Machine(np.zeros(BUCKETS), 0.0, _NEVER)
     # What is inserted into a word that clean texts never use must not hide it.
@@ -218,12 +235,14 @@ def train(sample: list[tuple[list[str], int]], odds_of_toxic: float | None = Non
     xp, xn, xd = embed(pool), embed(negative), embed(disguised or pool[:1])
     margin = np.array([odds(w) for w in pool])
     for _ in range(ROUNDS):
-        chosen = Counter(max(s, key=lambda k: (margin[k], -k)) for s in sentences)
+        chosen = Counter()
+        for s, n in sentences.items():
+            chosen[max(s, key=lambda k: (margin[k], -k))] += n
         rows = np.array(sorted(chosen), np.int64)
         x = np.vstack([xp[rows], xd, xn])
         y = np.concatenate([np.ones(len(rows) + len(xd)), -np.ones(len(xn))])
         # A word weighs as often as it was chosen or occurred, the classes brought to equal size.
-        even = len(clean) / len(toxic)
+        even = n_clean / n_toxic
         c = np.concatenate([even * np.array([chosen[k] for k in rows.tolist()], float),
                             np.full(len(xd), even), [in_clean[w] for w in negative]])
         weights, bias = _machine(x, y, c)
@@ -233,14 +252,13 @@ def train(sample: list[tuple[list[str], int]], odds_of_toxic: float | None = Non
             judge = Machine(folded(weights), bias, _NEVER)
             wrong = np.concatenate([judge.margins(rest[k:k + 10_000]) for k in range(0, len(rest), 10_000)]) > -0.5
             hard = [w for w, bad in zip(rest, wrong) if bad][:NEGATIVES]
-            rest = [w for w, bad in zip(rest, wrong) if not bad]
+            taken = set(hard)
+            rest = [w for w in rest if w not in taken]
             negative, xn = negative + hard, np.vstack([xn, embed(hard)]) if hard else xn
     machine = Machine(folded(weights), bias, _NEVER)
-    scorer = Scorer(machine)
-    found = np.array([scorer.features([w for s in d for w in s]) for d, _ in docs])
-    machine.curve = _logistic(found, np.array([label for _, label in docs], float))
+    machine.curve = _logistic(*found(machine))
     if odds_of_toxic:
-        machine.curve[-1] += math.log(odds_of_toxic * len(clean) / len(toxic))
+        machine.curve[-1] += math.log(odds_of_toxic * n_clean / n_toxic)
     return machine
 
 
@@ -295,18 +313,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     # Two top lists of a fixed length: small enough to broadcast.
     chosen = [usable.where(F.col("toxic") == t).orderBy(*order).limit(sample_docs) for t in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    texts = (docs.select("doc_id", "text").join(ids, "doc_id")
-             .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
-
-    def split(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for doc_id, text, toxic in rows:
-            # A bound on the sample, not on what is scored.
-            yield doc_id, sentences_of((text or "")[:SAMPLE_CHARS]), toxic
-
-    rows = map_rows(texts, split, "doc_id long, sentences array<string>, toxic int").collect()
+    texts = cut(docs.select("doc_id", "text").join(ids, "doc_id")
+                .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+                .repartition("doc_id"))
     counts = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
     odds = counts[1] / counts[0] if len(counts) == 2 else None
-    return train([(r.sentences, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)], odds)
+
+    def vocabulary(rows: Iterator[tuple]) -> Iterable[tuple]:
+        for text, toxic in rows:
+            yield from ((w, toxic) for w in {w for s in sentences_of(text or "") for w in s.split()})
+
+    # Whole texts stay in the tasks: the driver gets words with counts, then combinations of
+    # telling words with counts, then a few features of each sampled document.
+    words: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for r in map_rows(texts.select("text", "toxic"), vocabulary, "word string, toxic int").groupBy("word", "toxic").count().collect():
+        words[r.toxic][r.word] = r["count"]
+    sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+
+    def hits(index: dict[str, int]) -> Counter:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def combine(rows: Iterator[tuple]) -> Iterable[tuple]:
+            known = shared.value
+            for (text,) in rows:
+                for s in sentences_of(text or ""):
+                    if found := sorted({known[w] for w in s.split() if w in known}):
+                        yield (found,)
+
+        of = map_rows(texts.where("toxic = 1").select("text"), combine, "words array<int>").groupBy("words").count()
+        return Counter({tuple(r.words): r["count"] for r in of.collect()})
+
+    def found(machine: Machine) -> tuple[np.ndarray, np.ndarray]:
+        shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+        def measure(rows: Iterator[tuple]) -> Iterable[tuple]:
+            scorer = Scorer(shared.value)
+            for doc_id, text, toxic in rows:
+                yield doc_id, scorer.features(tokens_of(text)), toxic
+
+        rows = map_rows(texts, measure, "doc_id long, found array<double>, toxic int").collect()
+        rows.sort(key=lambda r: r.doc_id)
+        return np.array([r.found for r in rows]), np.array([r.toxic for r in rows], float)
+
+    return learn(words[1], words[0], sizes.get(1, 0), sizes.get(0, 0), hits, found, odds)
 
 
 SCORES = "doc_id long, score double, highest_margin double"
