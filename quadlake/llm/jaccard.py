@@ -14,13 +14,12 @@ Documents are sets of word n-grams (as 64-bit hashes); equal sets are one set.
    walks down the trie once; the overlap along a path is counted once for all sets below.
    A subtree is left out if its lengths and what remains of the set cannot reach the
    threshold, or if all of it is already in the set's component.
-3. A family of several blocks has blocks of one class of lengths each, so similar sets are
-   of the same or of neighbouring classes. It first joins the largest components of its blocks
-   through one member each. Every set outside the largest component of the family is then held
-   against a bit map of the n-grams of each block of those classes; only where that holds
-   enough of its n-grams the set itself is sent to the block. Bit maps take a few bits for each
-   n-gram, so what moves is far less than the texts. Pairs inside the largest component need
-   no comparison, all others get it.
+3. A family of several blocks first joins the largest components of its blocks through one
+   member each. Every set outside the largest component of the family is then held against a
+   bit map of the n-grams of each block; only where that holds enough of its n-grams the set
+   itself is sent to the block. Bit maps take a few bits for each n-gram, and meet many sets
+   at once, so what moves is far less than the texts. Pairs inside the largest component
+   need no comparison, all others get it.
 
 The components of links are those of step 2 and 3, contracted. Copies and long chains of
 near copies thus need few comparisons, and no pair is listed.
@@ -58,7 +57,12 @@ HELD = 2_000_000
 BLOCK_GRAMS = 1_000_000
 # Bits of a block's map for each n-gram, at least.
 MAP_BITS = 2
-# N-grams whose postings make a bucket of keys, about 16 bytes for each.
+# Sets that are held against the maps at once, in blocks.
+CHUNK_BLOCKS = 3
+# Bytes of a key that are sent, beside its bucket: sets of equal short keys share a family,
+# which does no harm.
+KEY_BYTES = 6
+# N-grams whose postings make a bucket of keys, about 8 bytes for each.
 BUCKET_GRAMS = 8_000_000
 
 
@@ -143,6 +147,22 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], np.unique(np.column_stack((nodes[apart], of[apart])), axis=0)
 
 
+def _posted(keys: np.ndarray, nodes: np.ndarray) -> tuple[bytes, bytes]:
+    """Postings of one bucket, sorted by node: the high KEY_BYTES of the keys; each node once, with its number of keys."""
+    starts = np.flatnonzero(np.diff(nodes, prepend=nodes[0] ^ 1))
+    counts = np.diff(starts, append=len(nodes)).astype("<i4")
+    short = np.ascontiguousarray(keys.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    return short.tobytes(), nodes[starts].astype("<i8").tobytes() + counts.tobytes()
+
+
+def _read_postings(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    short = np.frombuffer(a, np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(short), 8), np.uint8)
+    keys[:, :KEY_BYTES] = short
+    n = len(b) // 12
+    return keys.view(">u8").reshape(-1).astype(np.uint64), np.repeat(np.frombuffer(b[:8 * n], "<i8"), np.frombuffer(b[8 * n:], "<i4"))
+
+
 def node_of(sig: bytes) -> int:
     """A set's number in the chains: 64 bits of its signature. Sets that share it share a
     family, which does no harm."""
@@ -164,12 +184,12 @@ def chains(docs: DataFrame, n_grams: int, n: int = N, percent: int = PERCENT) ->
         def flush() -> Iterator[tuple]:
             key, node, edges = _stars(np.concatenate(keys), np.concatenate(nodes))
             bucket = (key % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((node, bucket))
             bounds = np.searchsorted(bucket[order], np.arange(shards + 1))
             for k in range(shards):
                 part = order[bounds[k]:bounds[k + 1]]
                 if len(part):
-                    yield k, key[part].tobytes(), node[part].tobytes(), False
+                    yield k, *_posted(key[part], node[part]), False
             if len(edges):
                 yield int(edges[0, 0]) % shards, edges[:, 0].tobytes(), edges[:, 1].tobytes(), True
 
@@ -196,8 +216,9 @@ def chains(docs: DataFrame, n_grams: int, n: int = N, percent: int = PERCENT) ->
                 if edges:
                     yield from zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).tolist())
                 else:
-                    keys.append(np.frombuffer(a, np.uint64))
-                    nodes.append(np.frombuffer(b, np.int64))
+                    key, node = _read_postings(a, b)
+                    keys.append(key)
+                    nodes.append(node)
             if keys:
                 yield from map(tuple, _stars(np.concatenate(keys), np.concatenate(nodes))[2].tolist())
 
@@ -375,26 +396,24 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     n_grams = signed.agg(F.sum("n_shingles")).first()[0] or 0
     families = components(chains(docs, n_grams, n, percent)).select("node", F.col("label").alias("family"))
     node = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    # Lengths of similar sets differ by a factor of 100 / percent at most, so by a class at most.
-    growth = max(100 / percent, 1.01) * 1.001
-    sized = cut(families.join(sets.withColumn("node", node), "node").drop("node")
-                .withColumn("cls", F.floor(F.log("n") / F.log(F.lit(growth))).cast("int")))
-    large = sized.groupBy("family").agg((F.sum("n") > block_grams).alias("large"))
-    of_class = sized.groupBy("family", "cls").agg(F.ceil(F.sum("n") / block_grams).cast("long").alias("blocks"))
-    number = F.col("cls") * F.lit(1 << 32) + F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    members = sized.join(large, "family").join(of_class, ["family", "cls"]).select(
-        "sig", "n", "one", "family", "cls", "large", F.when(F.col("large"), number).otherwise(F.lit(0).cast("long")).alias("block"))
-
+    sized = cut(families.join(sets.withColumn("node", node), "node").drop("node"))
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
+    # Small tables are written first, so the planner knows which are small enough to broadcast.
+    chosen = cut(sized.join(blocks, "family").select(
+        "sig", "n", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"),
+        F.col("one.doc_id").alias("one_id"), F.col("one.digest").alias("one")))
     # One text for each set of a family, by a row's id and digest. Texts outside families stay where they are.
-    chosen = cut(members.select("sig", "n", "family", "cls", "large", "block", F.col("one.doc_id").alias("one_id"), F.col("one.digest").alias("one")))
     near, _ = screened(docs.where("text is not null").select("doc_id", "text"), "doc_id", chosen.select(F.col("one_id").alias("doc_id")))
     texts = near.select("doc_id", text_digest(), "text")
-    held = cut(texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one")))
-               .groupBy("sig", "n", "family", "cls", "large", "block").agg(F.first("text").alias("text")))
+    members = ["sig", "n", "family", "blocks", "block"]
+    held = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one"))).select(*members, "text")
+    if not signed.where("sig is not null").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        held = held.groupBy(*members).agg(F.first("text").alias("text"))
+    held = cut(held)
     plain = held.select("family", "block", F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
                         F.lit(True).alias("probe"), "text")
     joined = cut(_within(plain, n, percent, back=False))
-    large = held.where("large")
+    large = held.where("blocks > 1")
     if large.isEmpty():
         return signed, joined
     # One member of the largest component of each block, all of a family in one block of
@@ -402,19 +421,19 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     labelled = _labelled(large, components(joined))
     tops = labelled.groupBy("family", "block", "label").agg(F.count("*").alias("size"), F.min("sig").alias("one"))
     top = tops.groupBy("family", "block").agg(F.max(F.struct("size", "one")).alias("top"))
-    chosen = top.select("family", F.col("top.one").alias("sig"))
+    chosen = cut(top.select("family", F.col("top.one").alias("sig")))
     heads = large.join(chosen, ["family", "sig"], "left_semi").select(
-        "family", F.lit(0).cast("long").alias("block"), F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
+        "family", F.lit(0).alias("block"), F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
         F.lit(True).alias("probe"), "text")
     joined = cut(joined.unionByName(_within(heads, n, percent, back=False)))
     labelled = cut(_labelled(large, components(joined)))
     # What is outside a family's largest component meets the blocks that may hold similar sets.
-    main = (labelled.groupBy("family", "label").count().groupBy("family")
-            .agg(F.max(F.struct("count", "label")).alias("main")).select("family", F.col("main.label").alias("main")))
+    main = cut(labelled.groupBy("family", "label").count().groupBy("family")
+               .agg(F.max(F.struct("count", "label")).alias("main")).select("family", F.col("main.label").alias("main")))
     rest = labelled.join(main, "family").where("label <> main").drop("main")
-    guests = cut(_near_blocks(labelled, rest, n, percent, block_grams).join(rest.drop("block", "family"), "sig"))
-    parts = guests.groupBy("family", "block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts"))
-    visits = guests.join(parts, ["family", "block"]).select(
+    guests = cut(_near_blocks(labelled, rest, n, percent, block_grams))
+    parts = cut(guests.groupBy("family", "block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")))
+    visits = guests.join(parts, ["family", "block"]).join(rest.select("sig", "label", "text"), "sig").select(
         "family", "block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int").alias("part"), "sig", "label",
         F.lit(True).alias("probe"), "text")
     hosts = labelled.join(parts, ["family", "block"]).select(
@@ -424,18 +443,18 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
 
 
 def _near_blocks(labelled: DataFrame, rest: DataFrame, n: int, percent: int, block_grams: int) -> DataFrame:
-    """(family, block, sig): other blocks that hold enough of a set's n-grams for a similar one."""
+    """(family, block, sig, n): other blocks that hold enough of a set's n-grams for a similar one."""
     def draw(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for (family, cls, block), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            grams = np.unique(np.concatenate([gram_set(r[3], n) for r in group]))
+        for (family, block), group in itertools.groupby(rows, key=lambda r: r[:2]):
+            grams = np.unique(np.concatenate([gram_set(r[2], n) for r in group]))
             size = max(3, (MAP_BITS * len(grams) - 1).bit_length())
             bits = np.zeros(1 << size, bool)
             bits[mix(grams) >> np.uint64(64 - size)] = True
-            yield family, cls, block, np.packbits(bits).tobytes()
+            yield family, block, np.packbits(bits).tobytes()
 
     def hold(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for (family, _, _), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            sigs, own, held, ends, sizes, flat = [], [], [], None, None, None
+        for (family, _), group in itertools.groupby(rows, key=lambda r: r[:2]):
+            sigs, own, held, flat = [], [], [], None
             for *_, kind, block, sig, text, bits in group:
                 if kind == 0:
                     sigs.append(sig)
@@ -444,32 +463,31 @@ def _near_blocks(labelled: DataFrame, rest: DataFrame, n: int, percent: int, blo
                     continue
                 if flat is None:
                     sizes = np.array([len(g) for g in held])
-                    ends = np.cumsum(sizes) - sizes
-                    flat, own = mix(np.concatenate(held)), np.array(own)
-                    held = []
+                    starts = np.cumsum(sizes) - sizes
+                    flat, own, held = mix(np.concatenate(held)), np.array(own), []
                 seen = np.unpackbits(np.frombuffer(bits, np.uint8))
-                hits = np.add.reduceat(seen[flat >> np.uint64(64 - (len(seen) - 1).bit_length())].astype(np.int64), ends)
+                inside = seen[flat >> np.uint64(64 - (len(seen) - 1).bit_length())]
+                hits = np.add.reduceat(inside, starts, dtype=np.int64)
                 for k in np.flatnonzero((100 * hits >= percent * sizes) & (own != block)).tolist():
-                    yield family, block, sigs[k]
+                    yield family, block, sigs[k], int(sizes[k])
 
     tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = cut(map_rows(labelled.select("family", "cls", "block", "text").repartition(tasks, "family", "block")
-                         .sortWithinPartitions("family", "cls", "block"), draw, "family long, cls int, block long, bits binary", 1))
-    chunks = rest.groupBy("family", "cls").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("chunks"))
-    sets = rest.join(chunks, ["family", "cls"]).select(
-        "family", "cls", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"),
+    drawn = cut(map_rows(labelled.select("family", "block", "text").repartition(tasks, "family", "block")
+                         .sortWithinPartitions("family", "block"), draw, "family long, block int, bits binary", 1))
+    chunks = cut(rest.groupBy("family").agg(F.ceil(F.sum("n") / (CHUNK_BLOCKS * block_grams)).cast("int").alias("chunks")))
+    sets = rest.join(chunks, "family").select(
+        "family", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"),
         "block", "sig", "text", F.lit(None).cast("binary").alias("bits"))
-    around = drawn.select("family", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"), "block", "bits")
-    maps = around.join(chunks, ["family", "cls"]).select(
-        "family", "cls", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"),
+    maps = drawn.join(chunks, "family").select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"),
         "block", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("string").alias("text"), "bits")
     # The sets of a chunk are held, the maps pass by one after the other.
-    dealt = sets.unionByName(maps).repartition(tasks, "family", "cls", "chunk").sortWithinPartitions("family", "cls", "chunk", "kind")
-    return map_rows(dealt, hold, "family long, block long, sig binary")
+    dealt = sets.unionByName(maps).repartition(tasks, "family", "chunk").sortWithinPartitions("family", "chunk", "kind")
+    return map_rows(dealt, hold, "family long, block int, sig binary, n long")
 
 
 def _labelled(large: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.select(F.col("node").alias("sig"), "label")
+    named = cut(labels.select(F.col("node").alias("sig"), "label"))
     return large.join(named, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
 
 
