@@ -58,7 +58,7 @@ BLOCK_GRAMS = 1_000_000
 # Bits of a block's map for each n-gram, at least.
 MAP_BITS = 2
 # Sets that are held against the maps at once, in blocks.
-CHUNK_BLOCKS = 3
+CHUNK_BLOCKS = 8
 # Bytes of a key that are sent, beside its bucket: sets of equal short keys share a family,
 # which does no harm.
 KEY_BYTES = 6
@@ -362,7 +362,12 @@ def numbered(grams: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
 def block_links(texts: list[str], labels: list, probe: list[bool], n: int, percent: int,
                 back: bool) -> list[tuple[int, int]]:
     """Pairs of texts that join components; equal labels are joined from the start."""
-    order, sets = numbered([gram_set(t, n) for t in texts])
+    return joining_pairs([gram_set(t, n) for t in texts], labels, probe, percent, back)
+
+
+def joining_pairs(grams: list[np.ndarray], labels: list, probe: list[bool], percent: int, back: bool) -> list[tuple[int, int]]:
+    """The same for sets."""
+    order, sets = numbered(grams)
     forest, first = Forest(len(sets)), {}
     for k, i in enumerate(order):
         if labels[i] is not None:
@@ -372,20 +377,32 @@ def block_links(texts: list[str], labels: list, probe: list[bool], n: int, perce
 
 
 def _within(blocks: DataFrame, n: int, percent: int, back: bool) -> DataFrame:
-    """Links of each block of (family, block, part, sig, label, probe, text)."""
+    """Links of each block of (family, block, part, sig, label, probe, mapped, text), and with no
+    ends (family, block, bits): the bit map of each block that is to be mapped."""
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for _, group in itertools.groupby(rows, key=lambda r: r[:3]):
+        for (family, block, _), group in itertools.groupby(rows, key=lambda r: r[:3]):
             rows_of = list(group)
             sigs = [r[3] for r in rows_of]
-            for a, b in block_links([r[6] for r in rows_of], [r[4] for r in rows_of], [r[5] for r in rows_of],
-                                    n, percent, back):
-                yield sigs[a], sigs[b]
+            grams = [gram_set(r[7], n) for r in rows_of]
+            for a, b in joining_pairs(grams, [r[4] for r in rows_of], [r[5] for r in rows_of], percent, back):
+                yield sigs[a], sigs[b], None, None, None
+            if rows_of[0][6]:
+                yield None, None, family, block, bit_map(grams)
 
     keys = ("family", "block", "part")
     shards = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (blocks.repartition(shards, *keys).sortWithinPartitions(*keys, "sig")
-               .select(*keys, "sig", "label", "probe", "text"))
-    return map_rows(ordered, run, "src binary, dst binary")
+               .select(*keys, "sig", "label", "probe", "mapped", "text"))
+    return map_rows(ordered, run, "src binary, dst binary, family long, block int, bits binary", 256)
+
+
+def bit_map(grams: list[np.ndarray]) -> bytes:
+    """Bits of the n-grams of some sets; their number is a power of two."""
+    all_grams = np.unique(np.concatenate(grams))
+    size = max(3, (MAP_BITS * len(all_grams) - 1).bit_length())
+    bits = np.zeros(1 << size, bool)
+    bits[mix(all_grams) >> np.uint64(64 - size)] = True
+    return np.packbits(bits).tobytes()
 
 
 def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
@@ -411,8 +428,9 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
         held = held.groupBy(*members).agg(F.first("text").alias("text"))
     held = cut(held)
     plain = held.select("family", "block", F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
-                        F.lit(True).alias("probe"), "text")
-    joined = cut(_within(plain, n, percent, back=False))
+                        F.lit(True).alias("probe"), (F.col("blocks") > 1).alias("mapped"), "text")
+    found = cut(_within(plain, n, percent, back=False))
+    joined = found.where("src is not null").select("src", "dst")
     large = held.where("blocks > 1")
     if large.isEmpty():
         return signed, joined
@@ -424,34 +442,28 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     chosen = cut(top.select("family", F.col("top.one").alias("sig")))
     heads = large.join(chosen, ["family", "sig"], "left_semi").select(
         "family", F.lit(0).alias("block"), F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
-        F.lit(True).alias("probe"), "text")
-    joined = cut(joined.unionByName(_within(heads, n, percent, back=False)))
+        F.lit(True).alias("probe"), F.lit(False).alias("mapped"), "text")
+    joined = cut(joined.unionByName(_within(heads, n, percent, back=False).select("src", "dst")))
     labelled = cut(_labelled(large, components(joined)))
     # What is outside a family's largest component meets the blocks that may hold similar sets.
     main = cut(labelled.groupBy("family", "label").count().groupBy("family")
                .agg(F.max(F.struct("count", "label")).alias("main")).select("family", F.col("main.label").alias("main")))
     rest = labelled.join(main, "family").where("label <> main").drop("main")
-    guests = cut(_near_blocks(labelled, rest, n, percent, block_grams))
+    maps = found.where("src is null").select("family", "block", "bits")
+    guests = cut(_near_blocks(maps, rest, n, percent, block_grams))
     parts = cut(guests.groupBy("family", "block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")))
-    visits = guests.join(parts, ["family", "block"]).join(rest.select("sig", "label", "text"), "sig").select(
-        "family", "block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int").alias("part"), "sig", "label",
-        F.lit(True).alias("probe"), "text")
+    sent = cut(guests.join(parts, ["family", "block"]).select(
+        "family", "block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int").alias("part"), "sig"))
+    visits = rest.select("sig", "label", "text").join(sent, "sig").select(
+        "family", "block", "part", "sig", "label", F.lit(True).alias("probe"), F.lit(False).alias("mapped"), "text")
     hosts = labelled.join(parts, ["family", "block"]).select(
         "family", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig", "label",
-        F.lit(False).alias("probe"), "text")
-    return signed, cut(joined.unionByName(_within(visits.unionByName(hosts), n, percent, back=True)))
+        F.lit(False).alias("probe"), F.lit(False).alias("mapped"), "text")
+    return signed, cut(joined.unionByName(_within(visits.unionByName(hosts), n, percent, back=True).select("src", "dst")))
 
 
-def _near_blocks(labelled: DataFrame, rest: DataFrame, n: int, percent: int, block_grams: int) -> DataFrame:
+def _near_blocks(drawn: DataFrame, rest: DataFrame, n: int, percent: int, block_grams: int) -> DataFrame:
     """(family, block, sig, n): other blocks that hold enough of a set's n-grams for a similar one."""
-    def draw(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for (family, block), group in itertools.groupby(rows, key=lambda r: r[:2]):
-            grams = np.unique(np.concatenate([gram_set(r[2], n) for r in group]))
-            size = max(3, (MAP_BITS * len(grams) - 1).bit_length())
-            bits = np.zeros(1 << size, bool)
-            bits[mix(grams) >> np.uint64(64 - size)] = True
-            yield family, block, np.packbits(bits).tobytes()
-
     def hold(rows: Iterator[tuple]) -> Iterable[tuple]:
         for (family, _), group in itertools.groupby(rows, key=lambda r: r[:2]):
             sigs, own, held, flat = [], [], [], None
@@ -471,9 +483,7 @@ def _near_blocks(labelled: DataFrame, rest: DataFrame, n: int, percent: int, blo
                 for k in np.flatnonzero((100 * hits >= percent * sizes) & (own != block)).tolist():
                     yield family, block, sigs[k], int(sizes[k])
 
-    tasks = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = cut(map_rows(labelled.select("family", "block", "text").repartition(tasks, "family", "block")
-                         .sortWithinPartitions("family", "block"), draw, "family long, block int, bits binary", 1))
+    tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = cut(rest.groupBy("family").agg(F.ceil(F.sum("n") / (CHUNK_BLOCKS * block_grams)).cast("int").alias("chunks")))
     sets = rest.join(chunks, "family").select(
         "family", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"),
