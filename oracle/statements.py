@@ -66,8 +66,9 @@ SELECT line, count(*) AS times FROM lines
 WHERE NOT regexp_full_match(line, '[ \t]*(#[^\n]*)?')
   AND NOT regexp_full_match(line, '[ \t]*(<[^<> ]+>|_:[^ ]+)[ \t]*<[^<> ]+>[ \t]*(<[^<> ]+>|_:[^ ]+|"[^"]*"[^ ]*)[ \t]*<[^<> ]+>[ \t]*[.][ \t]*')
 GROUP BY line""")
-q("store_graph", f"""SELECT DISTINCT '{R1}' AS g, s, s_kind, p, {OBJ} FROM quads WHERE g IN ('urn:g:region:0', '{R1}')
+q("store_graph", f"""SELECT DISTINCT '{R1}' AS g, s, s_kind, p, {OBJ} FROM quads
 EXCEPT SELECT * FROM quads""")
+q("bucket_store", f"SELECT DISTINCT '{R1}' AS g, s, s_kind, p, {OBJ} FROM quads")
 q("batch_ids", f"""SELECT g, s, p, o, n // 100 AS batch, (n // 100 + 1) * 100 <= total AS complete FROM (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY s, s_kind, p, o, o_kind, o_dt, o_lang) - 1 AS n,
          count(*) OVER (PARTITION BY g) AS total FROM quads)""")
@@ -87,8 +88,8 @@ UNION ALL SELECT 'urn:g:parts', s, 'iri', '{DCT}subject', c_mktsegment, 'literal
 q("entities_of_class", f"SELECT g, s FROM quads WHERE p = '{TYPE}' AND o = '{DCAT}Dataset'")
 q("values_filter", f"SELECT g, s, p, o FROM quads WHERE p IN ('{TITLE}', '{DCT}format', '{DCAT}Distribution')")
 j("scheduled_tasks", f"SELECT g, s AS task FROM jobs WHERE p = '{ADMS}status' AND o = '{SCHEDULED}'")
-q("class_properties", f"""SELECT a.g, a.s, a.class, b.p, b.o FROM (WITH typed AS MATERIALIZED (
-SELECT g, s, o AS class FROM quads WHERE p = '{TYPE}' AND o IN ({FOUR})) FROM typed) a JOIN quads b ON a.g = b.g AND a.s = b.s""")
+q("class_properties", f""", typed AS MATERIALIZED (SELECT g, s, o AS class FROM quads WHERE p = '{TYPE}' AND o IN ({FOUR}))
+SELECT a.g, a.s, a.class, b.p, b.o FROM typed a JOIN quads b ON a.g = b.g AND a.s = b.s""")
 
 STAR = f"""SELECT t.g, t.s, c.o AS created, st.o AS status, op.o AS operation, u.o AS id
 FROM jobs t JOIN jobs c ON t.g = c.g AND t.s = c.s JOIN jobs st ON t.g = st.g AND t.s = st.s
@@ -261,6 +262,7 @@ j("update_status", f"""
 m AS (SELECT * FROM n WHERE s IN (SELECT s FROM jobs WHERE p = '{ADMS}status'))
 SELECT * FROM jobs WHERE NOT (p IN ('{ADMS}status', '{DCT}modified') AND s IN (SELECT s FROM m))
 UNION ALL """ + triples(JG, "m", ("s", ADMS + "status", "status", ""), ("s", DCT + "modified", "moved", TIME)))
+ORACLE["stored_status"] = ORACLE["update_status"]
 j("template_insert", f""", f AS (SELECT a.s, a.o AS status, headers, input FROM jobs a LEFT JOIN ({HEADERS}) USING (g, s)
   LEFT JOIN ({INPUTS}) USING (g, s) WHERE a.p = '{ADMS}status') """ + triples(
     PUB, "f", ("s", ADMS + "status", "status", ""), ("s", EXT + "headers", "headers", STR), ("s", EXT + "content", "input", "")))
@@ -447,9 +449,9 @@ family("qualified",
        found(SH_ + "disjoint-rights", f"qualified(disjoint={HL}, min=4, shapes={HR})", "QualifiedMinCount",
              qualified("< 4", f"NOT {has(LICENSE, 'f.o')}"), DCAT + "distribution", False, via="'qualified_min'"))
 family("closed", found(SH_ + "closed-record", f"closed(allowed={MOD}, ignored={TYPE})", "Closed",
-                       f"SELECT x.g, x.s, x.o, x.o_kind, x.o_dt, x.o_lang, x.p FROM quads x JOIN (WITH f AS MATERIALIZED "
-                       f"(FROM {focus(REC)} t) FROM f) f ON f.g = x.g AND f.s = x.s "
-                       f"WHERE x.p NOT IN ('{MOD}', '{TYPE}')", "via", via="p").replace("via AS path", "p AS path"))
+                       f"SELECT x.g, x.s, x.o, x.o_kind, x.o_dt, x.o_lang, x.p FROM quads x JOIN record f ON f.g = x.g AND f.s = x.s "
+                       f"WHERE x.p NOT IN ('{MOD}', '{TYPE}')", "via", via="p").replace("via AS path", "p AS path"),
+       ctes=f", record AS MATERIALIZED (SELECT * FROM {focus(REC)} t)")
 OWNER = found(SH_ + "owner", "hasValue(value=urn:x:agent:0)", "HasValue",
               f"SELECT g, s FROM {focus(CAT)} f WHERE NOT EXISTS (FROM quads x WHERE x.g = f.g AND x.s = f.s "
               f"AND x.p = '{DCT}publisher' AND x.o = 'urn:x:agent:0')", DCT + "publisher", False)

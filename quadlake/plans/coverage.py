@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quadlake.operators.checks import severity_of
 from quadlake.quads import SUBJECT
-from quadlake.session import local_frame, metadata_rows
+from quadlake.session import cut, local_frame, metadata_rows
 from quadlake.spec import RULES, Rule
 from quadlake.vocab import IRI, RDF_TYPE
 
@@ -43,10 +43,13 @@ def _marks(keys: dict[str, tuple[int, int]], key: str, words: int) -> list[int]:
     return [1 << at[1] if at and at[0] == w else 0 for w in range(words)]
 
 
-def subject_bits(quads: DataFrame, classes: list[str], properties: list[str]) -> DataFrame:
+def subject_bits(quads: DataFrame, classes: list[str], properties: list[str], below: DataFrame | None = None) -> DataFrame:
     """(g, s, s_kind, w0, w1...): the classes and properties of each subject as bits.
 
-    Class i has bit i, property j bit len(classes) + j, 60 bits to a word.
+    Class i has bit i, property j bit len(classes) + j, 60 bits to a word. With below, the
+    subclasses (g, class, sub) of the classes, an instance of a subclass has the bits of all
+    classes above it: the bits of what is above each subclass are put together first, so
+    each type quad finds them in one row per word, and no subject is repeated per class.
     """
     at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
     slots = [(RDF_TYPE, c, w, 1 << b) for c, (w, b) in at_class.items()]
@@ -58,6 +61,14 @@ def subject_bits(quads: DataFrame, classes: list[str], properties: list[str]) ->
         F.col("p").isin(*properties) | ((F.col("p") == RDF_TYPE) & F.col("o").isin(*classes)))
     marks = relevant.select("g", *SUBJECT, "p", F.when(is_type, F.col("o")).otherwise("").alias("class")) \
         .join(F.broadcast(table), ["p", "class"])
+    if below is not None:
+        above = [(c, w, 1 << b) for c, (w, b) in at_class.items()]
+        names = F.broadcast(local_frame(quads.sparkSession, above, "class string, word int, mark bigint"))
+        # Written first, so the planner knows its size and broadcasts it where it is small.
+        up = cut(below.join(names, "class").groupBy("g", F.col("sub").alias("class"), "word").agg(F.bit_or("mark").alias("mark")))
+        typed = quads.where(is_type).select("g", *SUBJECT, F.col("o").alias("class"))
+        marks = marks.select("g", *SUBJECT, "word", "mark").unionByName(
+            typed.join(up, ["g", "class"]).select("g", *SUBJECT, "word", "mark"))
     words = max(w for _, _, w, _ in slots) + 1 if slots else 1
     zero = F.lit(0).cast("bigint")
     return marks.groupBy("g", *SUBJECT).agg(*[

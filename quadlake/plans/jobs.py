@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadlake.functions.terms import headers_map, key_hash, mint
 from quadlake.operators.joins import existing, optional, path_value, star, union_of, values_of
 from quadlake.operators.records import insert, link, records, text
 from quadlake.operators.scan import in_graph
-from quadlake.quads import SUBJECT, of_type
+from quadlake.quads import QUAD, SUBJECT, of_type
+from quadlake.session import cut
+from quadlake.sources.buckets import apply_changes, read_buckets
 from quadlake.vocab import (
     CONTAINER_CLASS, CONTAINER_PREFIX, CONTENT, CREATED, DATA_GRAPH_OF, DCT, ENDPOINT_URL, EXT,
     HEADERS, INPUT_CONTAINER, IRI, IS_PART_OF, JOB_CLASS, JOB_PREFIX, JOBS_GRAPH, LEGAL_MOVES,
@@ -166,14 +168,8 @@ def task_quads(new: DataFrame, g: str = JOBS_GRAPH) -> DataFrame:
     ])
 
 
-def update_status(quads: DataFrame, changes: DataFrame) -> DataFrame:
-    """The quads after status changes (task, status, time).
-
-    A change applies to every graph in which the task is typed and has a
-    status; other changes do nothing. All old values of status and of modified
-    go. Of several changes to one task the latest counts. Only status and
-    modified quads are shuffled; the rest passes through.
-    """
+def _status_targets(quads: DataFrame, changes: DataFrame) -> DataFrame:
+    """(g, s, s_kind, time, status): the typed tasks with a status, and the latest change to each."""
     flags = (
         quads.where(F.col("p").isin(RDF_TYPE, STATUS)).groupBy(*_KEY).agg(
             F.max((F.col("p") == RDF_TYPE) & (F.col("o") == TASK_CLASS)).alias("is_task"),
@@ -182,13 +178,39 @@ def update_status(quads: DataFrame, changes: DataFrame) -> DataFrame:
     )
     latest = changes.groupBy(F.col("task").alias("s")).agg(
         F.max(F.struct("time", "status")).alias("new")).select("s", "new.*")
-    targets = flags.where(F.col("s_kind") == IRI).join(latest, "s")
-    touched = F.col("p").isin(STATUS, MODIFIED)
-    kept = quads.where(touched).join(targets.select(*_KEY), _KEY, "left_anti")
-    added = insert(targets, F.col("g"), [
+    return flags.where(F.col("s_kind") == IRI).join(latest, "s")
+
+
+def _new_states(targets: DataFrame) -> DataFrame:
+    return insert(targets, F.col("g"), [
         link(F.col("s"), STATUS, F.col("status")),
         text(F.col("s"), MODIFIED, iso(F.col("time")), XSD_DATETIME)])
-    return union_of(quads.where(~touched), kept, added)
+
+
+def update_status(quads: DataFrame, changes: DataFrame) -> DataFrame:
+    """The quads after status changes (task, status, time).
+
+    A change applies to every graph in which the task is typed and has a
+    status; other changes do nothing. All old values of status and of modified
+    go. Of several changes to one task the latest counts. Only status and
+    modified quads are shuffled; the rest passes through.
+    """
+    targets = _status_targets(quads, changes)
+    touched = F.col("p").isin(STATUS, MODIFIED)
+    kept = quads.where(touched).join(targets.select(*_KEY), _KEY, "left_anti")
+    return union_of(quads.where(~touched), kept, _new_states(targets))
+
+
+def status_changes(quads: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The quads that status changes take out, and those they put in, by the rules of ``update_status``."""
+    targets = cut(_status_targets(quads, changes))
+    old = quads.where(F.col("p").isin(STATUS, MODIFIED)).join(targets.select(*_KEY), _KEY, "left_semi")
+    return old.select(*QUAD), _new_states(targets)
+
+
+def store_status(spark: SparkSession, path: str, changes: DataFrame) -> int:
+    """Apply status changes to a store of buckets; how many buckets were rewritten. A repeat rewrites none."""
+    return apply_changes(spark, path, *status_changes(read_buckets(spark, path), changes))
 
 
 def attach_results(quads: DataFrame, results: DataFrame, run: str, g: str = JOBS_GRAPH) -> DataFrame:

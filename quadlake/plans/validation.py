@@ -139,7 +139,8 @@ def subclasses(quads: DataFrame, classes: list[str]) -> DataFrame | None:
         return None
     seeds = edges.where(F.col("a").isin(*classes))
     found = closure(edges, seeds).select("g", F.col("a").alias("class"), F.col("b").alias("sub"))
-    return found.where(F.col("class") != F.col("sub"))
+    found = cut(found.where(F.col("class") != F.col("sub")))
+    return None if found.isEmpty() else found
 
 
 def members(quads: DataFrame, classes: list[str], below: DataFrame | None) -> DataFrame:
@@ -359,13 +360,13 @@ def _is_presence(s: Shape, found: tuple) -> bool:
 def _presence(quads: DataFrame, rules: _Rules, found: list) -> DataFrame:
     """minCount 1 on one predicate of a class: the missing bits of each subject.
 
-    As in the coverage analysis, one shuffle on the subject serves all shapes,
+    An instance of a subclass has the bits of the classes above it. As in the coverage analysis, one shuffle on the subject serves all shapes,
     and no focus node is repeated per shape before it.
     """
     classes = sorted({_only_class(rules.shapes[s]) for _, s, _, _ in found})
     properties = sorted({rules.shapes[s].predicate for _, s, _, _ in found})
     at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
-    bits = subject_bits(quads, classes, properties)
+    bits = subject_bits(quads, classes, properties, rules.below(quads))
     words = F.array(*[c for c in bits.columns if c.startswith("w")])
     asked = F.array(*[
         F.struct(*[F.lit(x).alias(n) for x, n in zip(
@@ -567,8 +568,9 @@ def _as_shapes(shapes: Iterable[Shape] | DataFrame) -> list[Shape]:
 class _Level:
     """The focus nodes and values of one level of nesting.
 
-    Each family asks for its own shapes, so its plan scans the predicates and
-    classes of those shapes only.
+    All families share one table of focus nodes and one of value nodes: targets are found
+    and facts joined once, however many families look at them. Where a level has a single
+    rule family the frames are used as they are.
     """
 
     def __init__(self, quads: DataFrame, rules: _Rules, level: int, asked: DataFrame | None):
@@ -580,16 +582,51 @@ class _Level:
             own = _targets(quads, rules, self.numbers)
             both = asked if own is None else asked.unionByName(own)
             self.asked = cut(both.groupBy("shape", "g", *_F).agg(F.max("reported").alias("reported")))
+        # The shapes that have rules beside presence, and those whose values are looked at.
+        self.checked: set[int] = set()
+        self.valued: set[int] = set()
+        families: set[str] = set()
+        for rule in rules.of(level, *_ALL):
+            _, s, component, _ = rule
+            if self.asked is None and (not rules.shapes[s].targets or _is_presence(rules.shapes[s], rule)):
+                continue
+            self.checked.add(s)
+            families.add(_family_of(component))
+            if component not in ("minCount", "maxCount", "closed") or not (rules.shapes[s].predicate or component == "closed"):
+                self.valued.add(s)
+        self.shared = len(families) > 1
+        self._focus: DataFrame | None = None
+        self._values: DataFrame | None = None
 
     def focus(self, found: list) -> DataFrame | None:
-        numbers = {s for _, s, _, _ in found}
+        numbers = sorted({s for _, s, _, _ in found})
         if self.asked is not None:
-            return self.asked.where(F.col("shape").isin(*sorted(numbers)))
-        return _targets(self.quads, self.rules, numbers)
+            return self.asked.where(F.col("shape").isin(*numbers))
+        if not self.shared:
+            return _targets(self.quads, self.rules, numbers)
+        if self._focus is None:
+            self._focus = cut(_targets(self.quads, self.rules, self.checked))
+        return self._focus.where(F.col("shape").isin(*numbers))
 
     def values(self, found: list) -> DataFrame | None:
+        numbers = sorted({s for _, s, _, _ in found})
         focus = self.focus(found)
-        return None if focus is None else _values(focus, self.quads, self.rules, {s for _, s, _, _ in found})
+        if focus is None or not self.shared:
+            return None if focus is None else _values(focus, self.quads, self.rules, numbers)
+        if self._values is None:
+            everything = self.focus([(0, s, "", {}) for s in self.valued])
+            self._values = cut(_values(everything, self.quads, self.rules, self.valued))
+        return self._values.where(F.col("shape").isin(*numbers))
+
+
+# The rule families: constraints that are evaluated by one plan.
+_FAMILIES = (VALUE_TESTS, ("minCount", "maxCount"), ("class",), ("hasValue",), ("uniqueLang",), ("equals", "disjoint"),
+             ("lessThan", "lessThanOrEquals"), ("closed",), (*NESTED, "qualified"))
+_ALL = [c for family in _FAMILIES for c in family]
+
+
+def _family_of(component: str) -> str:
+    return next(family[0] for family in _FAMILIES if component in family)
 
 
 def _level_findings(at: _Level, bad: DataFrame | None, level: int) -> DataFrame | None:
@@ -607,8 +644,6 @@ def _level_findings(at: _Level, bad: DataFrame | None, level: int) -> DataFrame
         plain, other = [], []
         for x in found:
             (plain if at.asked is None and _is_presence(rules.shapes[x[1]], x) else other).append(x)
-        if plain and rules.below(quads) is not None:
-            plain, other = [], found
         complex_ = [x for x in other if not rules.shapes[x[1]].predicate]
         parts = [_presence(quads, rules, plain)] if plain else []
         if other:

@@ -15,7 +15,7 @@ from quadlake.plans import jobs as job
 from quadlake.plans import report, validation
 from quadlake.quads import OBJECT, QUAD, literal
 from quadlake.session import checkpoint_folder, cut, tune
-from quadlake.sources import derived, nquads, sample_shapes, store
+from quadlake.sources import buckets, derived, nquads, sample_shapes, store
 from quadlake.spec import CLASSES, RULES, TYPOS
 from quadlake.streaming import change_feed, drain
 from quadlake.vocab import (
@@ -188,9 +188,18 @@ def format_nquads(q):
 
 @catalogue
 def store_graph(q):
-    """What an append of two relabelled graphs would add to the store."""
-    incoming = q.where(F.col("g").isin("urn:g:region:0", REGION)).withColumn("g", F.lit(REGION))
-    return store.new_quads(q, incoming.select(*QUAD))
+    """What an append of all graphs under the name of one would add to the store."""
+    return store.new_quads(q, q.withColumn("g", F.lit(REGION)).select(*QUAD))
+
+
+@catalogue
+def bucket_store(q):
+    """All graphs written to buckets, with copies of all under one name added, and that graph read back."""
+    spark = q.sparkSession
+    path = f"{checkpoint_folder(spark)}/buckets-{uuid.uuid4()}"
+    buckets.create_buckets(q, path)
+    buckets.apply_changes(spark, path, q.where(F.lit(False)), q.withColumn("g", F.lit(REGION)))
+    return buckets.read_buckets(spark, path, [REGION])
 
 
 @catalogue
@@ -418,14 +427,28 @@ def _results(j: DataFrame) -> DataFrame:
     return found.select(uri.alias("task"), F.explode(job.as_list(pair, True)).alias("result")).unionByName(ghost)
 
 
-@over_jobs
-def update_status(j):
+def _status_changes(j):
     time = F.to_timestamp(F.lit(NOW))
     changes = job.scheduled_tasks(j).select("task", F.lit(BUSY).alias("status"), time.alias("time"))
     ghost = changes.withColumn("task", F.concat("task", F.lit(":gone")))
     later = joins.values_of(j, OPERATION, "operation").where(F.col("operation") == COVERAGE_OPERATION).select(
         F.col("s").alias("task"), F.lit(FAILED).alias("status"), (time + F.expr("INTERVAL 1 HOUR")).alias("time"))
-    return job.update_status(j, joins.union_of(changes, ghost, later))
+    return joins.union_of(changes, ghost, later)
+
+
+@over_jobs
+def update_status(j):
+    return job.update_status(j, _status_changes(j))
+
+
+@over_jobs
+def stored_status(j):
+    """The same changes applied to a store of buckets, read back."""
+    spark = j.sparkSession
+    path = f"{checkpoint_folder(spark)}/status-{uuid.uuid4()}"
+    buckets.create_buckets(j, path)
+    job.store_status(spark, path, _status_changes(j))
+    return buckets.read_buckets(spark, path)
 
 
 @over_jobs
