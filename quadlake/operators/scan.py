@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.functions.terms import kind_rank, or_undef, skolem
 from quadlake.quads import FREE, QUAD, Term, is_object, is_subject
-from quadlake.session import cut
+from quadlake.session import checkpoint_folder, cut, local_frame
 from quadlake.vocab import BNODE, IRI, LITERAL, SKOLEM_BASE
 
-# Pages that end within this many rows are taken as a top-k; deeper ones are
-# numbered in parallel.
-TOP_ROWS = 100_000
 # monotonically_increasing_id: partition above, row within it below.
 _ROW_BITS = 33
 
@@ -76,33 +75,62 @@ def term_order(df: DataFrame, variable: str) -> list[Column]:
     return first + [F.col(variable)] + [F.col(c) for c in df.columns if c != variable]
 
 
+class Pages:
+    """The rows of a frame in order, kept as sorted parts: any page opens only the parts it lies in.
+
+    The parts are written once, one folder each, with a number for every row; the driver keeps
+    one count per part. All pages have the same plan, however deep, and a caller who turns
+    pages sorts once. ``files`` tells how many parts a page opens.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], parts: int | None = None):
+        """parts: how many; if not given, adaptive execution sizes them."""
+        spark = df.sparkSession
+        path = f"{checkpoint_folder(spark).rstrip('/')}/pages-{uuid.uuid4()}"
+        laid = df.orderBy(*order) if parts is None else df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        ranked = laid.withColumns({"_id": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+        ranked.write.partitionBy("_part").parquet(path)
+        self.columns = df.columns
+        self._rows = spark.read.schema(ranked.schema).parquet(path)
+        sizes = sorted((r["_part"], r["count"]) for r in self._rows.groupBy("_part").count().collect())
+        ends = list(accumulate(n for _, n in sizes))
+        self._parts = [(part, end - n, end) for (part, n), end in zip(sizes, ends)]
+        self.total = ends[-1] if ends else 0
+
+    def _near(self, start: int, end: int) -> list[tuple[int, int, int]]:
+        return [p for p in self._parts if p[1] < end and p[2] > start]
+
+    def files(self, limit: int | None = None, offset: int = 0) -> int:
+        return len(self._near(offset, self.total if limit is None else offset + limit))
+
+    def numbered(self, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Rows offset .. offset + limit with their number, row."""
+        end = self.total if limit is None else min(self.total, offset + limit)
+        near = self._near(offset, end)
+        starts = local_frame(self._rows.sparkSession, [(part, first) for part, first, _ in near], "_part int, _start bigint", most=max(len(near), 1))
+        within = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        # One row for each part: the planner knows the size of both.
+        rows = self._rows.where(F.col("_part").isin(*[part for part, _, _ in near])) if near else self._rows.where(F.lit(False))
+        found = rows.join(starts, "_part").withColumn("row", F.col("_start") + within)
+        return found.where((F.col("row") >= offset) & (F.col("row") < end)).select(*self.columns, "row")
+
+    def page(self, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Rows offset .. offset + limit in order."""
+        return self.numbered(limit, offset).orderBy("row").drop("row")
+
+
 def page(df: DataFrame, order: list[Column], limit: int | None = None,
          offset: int | None = None) -> DataFrame:
-    """Rows offset .. offset + limit in the given order."""
+    """Rows offset .. offset + limit in the given order, by one plan at every depth."""
     start = offset or 0
     if limit is None and not start:
         return df.orderBy(*order)
-    if limit is not None and start + limit <= TOP_ROWS:
-        return df.orderBy(*order).offset(start).limit(limit)
-    rows = numbered(df, order).where(F.col("row") >= start)
-    if limit is not None:
-        rows = rows.where(F.col("row") < start + limit)
-    return rows.orderBy("row").drop("row")
+    return Pages(df, order).page(limit, start)
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with the column row = 0, 1, ... in the given order, without a single-task sort.
-
-    The sorted rows are written first, so both passes see the same partitions.
-    The running total spans one row per partition.
-    """
-    ranked = sorted_parts(df, order)
-    sizes = ranked.groupBy("_part").count()
-    total = F.sum("count").over(Window.orderBy("_part"))
-    starts = sizes.select("_part", (total - F.col("count")).alias("_start"))
-    within = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (ranked.join(F.broadcast(starts), "_part")
-            .withColumn("row", F.col("_start") + within).drop("_id", "_part", "_start"))
+    """df with the column row = 0, 1, ... in the given order, without a single-task sort."""
+    return Pages(df, order).numbered()
 
 
 def sorted_parts(df: DataFrame, order: list[Column]) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from test_buckets import rows_read
 
 from quadlake.operators import scan
 from quadlake.quads import as_set, bnode, iri, literal
@@ -62,14 +63,35 @@ def many(spark):
         F.format_string("s%04d", "id").alias("s"), F.lit("iri").alias("s_kind"), (F.col("id") % 7).alias("x"))
 
 
-def test_pages_are_slices_of_the_order(many, monkeypatch):
+def test_pages_are_slices_of_the_order(many):
     order = scan.term_order(many, "s")
     everything = [r.s for r in many.orderBy(*order).collect()]
-    for top in (10_000, 5):
-        monkeypatch.setattr(scan, "TOP_ROWS", top)
-        for limit, offset in ((10, 0), (10, 35), (None, 990), (7, 998), (0, 3), (5, 5000)):
-            got = [r.s for r in scan.page(many, order, limit, offset).collect()]
-            assert got == everything[offset:][:limit]
+    for limit, offset in ((10, 0), (10, 35), (None, 990), (7, 998), (0, 3), (5, 5000)):
+        got = [r.s for r in scan.page(many, order, limit, offset).collect()]
+        assert got == everything[offset:][:limit]
+
+
+def test_kept_pages_open_only_their_parts(many, spark):
+    pages = scan.Pages(many, scan.term_order(many, "s"), parts=8)
+    parts = len(pages._parts)
+    assert pages.total == 1000 and parts > 1
+    plans = set()
+    for offset in range(0, 1000, 100):
+        page = pages.page(100, offset)
+        assert [r.s for r in page.collect()] == [f"s{i:04d}" for i in range(offset, offset + 100)]
+        opened = pages.files(100, offset)
+        assert opened < parts
+        # Only the rows of the opened parts are read.
+        assert rows_read(page) <= sum(end - first for _, first, end in pages._near(offset, offset + 100)) + opened
+        plans.add(tuple(line.strip("+-: |").split("(")[0] for line in page._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    # Deep pages are planned like the first one.
+    assert len({tuple(word.split(" ")[0] for word in p) for p in plans}) == 1
+    assert pages.files() == parts and pages.files(0, 5000) == 0
+
+
+def test_pages_of_nothing(many):
+    pages = scan.Pages(many.where("false"), scan.term_order(many, "s"))
+    assert pages.total == 0 and pages.page(10, 0).count() == 0
 
 
 def test_numbered(many):
