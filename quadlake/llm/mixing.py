@@ -15,9 +15,14 @@ block. With a largest share, blocks have a fixed size, and the mix ends where th
 source has no block left for its slot; documents beyond that are held back, since no mix
 of these weights could hold them.
 
+Given target weights by source, the slots go by those weights alone. Blocks have a fixed
+size then too, and the mix ends where the first source runs dry. Sources without a weight
+are not in the mix; a named source without documents takes no part.
+
 Documents of a source are ordered by a hash bucket, then doc_id. A null source is a
-source. Sources with less than one slot in a period are pooled with the smallest other
-one. Repeated rows and null ids are documents of their own. Other columns are kept.
+source. Without target weights, sources with less than one slot in a period together are
+a group of their own, dealt in the order of a hash. Repeated rows and null ids are
+documents of their own. Other columns are kept. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -51,6 +56,16 @@ def target_weights(counts: list[int], most: float = MOST, period: int = PERIOD)
     return [max(1, int(s * period)) for s in shares]
 
 
+def given_weights(weights: list[float], period: int = PERIOD) -> list[int]:
+    """Slots of a period for positive weights: the whole parts of their shares, and one slot
+    more for the largest remainders, so that the period is full; never less than one."""
+    exact = [w / sum(weights) * period for w in weights]
+    found = [int(x) for x in exact]
+    for k in sorted(range(len(exact)), key=lambda k: (found[k] - exact[k], k))[:period - sum(found)]:
+        found[k] += 1
+    return [max(1, n) for n in found]
+
+
 def slots(weights: list[int]) -> Column:
     """The group of each slot of a period, by earliest deadline among released blocks."""
     w, period = f"array({', '.join(map(str, weights))})", sum(weights)
@@ -73,29 +88,56 @@ def schedule(spark: SparkSession, weights: list[int]) -> DataFrame:
             .withColumn("turn", F.row_number().over(place) - 1))
 
 
-def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float | None = MOST, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float | None = MOST, period: int = PERIOD,
+        targets: dict[str | None, float] | None = None) -> DataFrame:
     """The documents with __group, __block, __slot, __place in the block, and whether they
-    are in the mix. The order of the mix is that of slot and place. With most None all
-    documents are in it, and block_rows is the mean size of a block."""
+    are in the mix. The order of the mix is that of slot and place.
+
+    With targets, weights by source, the largest share has no meaning; sources without a
+    positive weight have no group. Without, and with most None, all documents are in the mix,
+    and block_rows is the mean size of a block."""
     spark = docs.sparkSession
+    if targets is not None:
+        targets = {s: float(w) for s, w in targets.items()}
+        if any(not 0 <= w < float("inf") for w in targets.values()) or not any(targets.values()):
+            raise ValueError("target weights are finite, not negative and not all zero")
     sizes = docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    # At most a period's number of rows come to the driver.
-    major = sorted(sizes.where(F.col("n") * period >= total).collect(), key=lambda r: (-r.n, r.name or ""))
-    group_sizes = [r.n for r in major] or [max(total, 1)]
-    group_sizes[-1] += total - sum(r.n for r in major) if major else 0
-    weights = target_weights(group_sizes, 1.0 if most is None else most, period)
+    if targets is not None:
+        asked = constant_rows(spark, [(s, w) for s, w in targets.items() if w > 0], "__asked string, __w double")
+        # At most as many rows as there are weights.
+        major = sorted((r for r in sizes.join(F.broadcast(asked), F.col("name").eqNullSafe(F.col("__asked"))).collect()),
+                       key=lambda r: (-r.n, r.name is None, r.name or ""))
+        group_sizes = [r.n for r in major]
+        weights = given_weights([targets[r.name] for r in major], period) if major else []
+        total = sum(group_sizes)
+        if not major:
+            group_sizes, weights = [1], [1]
+    else:
+        total = sizes.agg(F.sum("n")).first()[0] or 0
+        # At most a period's number of rows come to the driver.
+        major = sorted(sizes.where(F.col("n") * period >= total).collect(), key=lambda r: (-r.n, r.name or ""))
+        group_sizes = [r.n for r in major]
+        if (rest := total - sum(group_sizes)) or not major:
+            group_sizes.append(max(rest, 1))
+        weights = target_weights(group_sizes, 1.0 if most is None else most, period)
     groups = constant_rows(spark, [(r.name, k) for k, r in enumerate(major)], "__name string, __named int")
+    other = F.lit(None).cast("int") if targets is not None else F.lit(len(weights) - 1)
+    # Documents without a group pass through.
+    how = "inner" if targets is None else "left"
+    # Null ids go by their texts, so that many of them are not one bucket.
+    by = F.xxhash64("doc_id")
+    if "text" in docs.columns:
+        by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(by)
     keyed = (docs.join(F.broadcast(groups), F.col("source").eqNullSafe(F.col("__name")), "left")
-             .withColumn("__group", F.coalesce("__named", F.lit(len(weights) - 1)))
-             .withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))))
+             .withColumn("__group", F.coalesce("__named", other))
+             .withColumn("__bucket", F.pmod(by, F.lit(BUCKETS))))
     # How many documents of a group come before a bucket: a row for each group and bucket.
     before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     first = (keyed.groupBy(F.col("__group").alias("__g"), F.col("__bucket").alias("__b")).count()
              .select("__g", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first")))
     inside = Window.partitionBy("__group", "__bucket").orderBy(*[c for c in ("doc_id", "text") if c in docs.columns])
     placed = (keyed.withColumn("__rank", F.row_number().over(inside) - 1)
-              .join(first, (F.col("__group") == F.col("__g")) & (F.col("__bucket") == F.col("__b")))
+              .join(first, (F.col("__group") == F.col("__g")) & (F.col("__bucket") == F.col("__b")), how)
               .withColumn("__index", F.col("__first") + F.col("__rank")))
     plan = schedule(spark, weights).select(F.col("grp").alias("__grp"), F.col("turn").alias("__next"), F.col("slot").alias("__at"))
     period = sum(weights)
@@ -104,24 +146,25 @@ def mix(docs: DataFrame, block_rows: int = BLOCK_ROWS, most: float | None = MOST
     by_group = constant_rows(spark, [(k, w, n, w * periods) for k, (n, w) in enumerate(zip(group_sizes, weights))],
                              "__member int, __weight int, __size long, __blocks long")
     # Products may exceed 64 bits.
-    block, start = ((f"__index DIV {block_rows}", f"__block * {block_rows}") if most is not None else (
+    fixed = most is not None or targets is not None
+    block, start = ((f"__index DIV {block_rows}", f"__block * {block_rows}") if fixed else (
         "cast(__index AS decimal(19, 0)) * __blocks DIV __size",
         "(cast(__block AS decimal(19, 0)) * __size + __blocks - 1) DIV __blocks"))
-    slotted = (placed.join(F.broadcast(by_group), F.col("__group") == F.col("__member"))
+    slotted = (placed.join(F.broadcast(by_group), F.col("__group") == F.col("__member"), how)
                .withColumn("__block", F.expr(block))
                .withColumn("__place", F.col("__index") - F.expr(start))
                .withColumn("__turn", F.expr("int(__block % __weight)"))
-               .join(F.broadcast(plan), (F.col("__group") == F.col("__grp")) & (F.col("__turn") == F.col("__next")))
+               .join(F.broadcast(plan), (F.col("__group") == F.col("__grp")) & (F.col("__turn") == F.col("__next")), how)
                .withColumn("__slot", F.expr(f"(__block DIV __weight) * {period} + __at")))
     kept = [*docs.columns, "__group", "__block", "__slot", "__place"]
-    if most is None:
+    if not fixed:
         return slotted.select(*kept, F.lit(True).alias("__in_mix"))
     # The first slot for which a group has no block, from the same table of slots.
     ends = constant_rows(spark, [(k, -(-n // block_rows) // w, -(-n // block_rows) % w) for k, (n, w) in enumerate(zip(group_sizes, weights))],
                          "group_no int, rounds long, next_turn int")
     end = (ends.join(plan, (F.col("group_no") == F.col("__grp")) & (F.col("next_turn") == F.col("__next")))
            .agg(F.min(F.col("rounds") * period + F.col("__at"))).first()[0]) if total else 0
-    return slotted.select(*kept, (F.col("__slot") < F.lit(end)).alias("__in_mix"))
+    return slotted.select(*kept, F.coalesce(F.col("__slot") < F.lit(end), F.lit(False)).alias("__in_mix"))
 
 
 def mixed(docs: DataFrame, most: float | None = None, **options) -> DataFrame:

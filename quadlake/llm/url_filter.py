@@ -6,9 +6,11 @@ whose matches contain one of several tokens is indexed by each of those. The tok
 without a literal token is indexed by the empty token, which every URL has.
 
 Only distinct (host, path) pairs are judged. A null URL, or one without "://", has an
-empty host and path and matches no rule. Repeated rows and null ids give a row each;
-columns other than those named are not read. Rules come from the caller as rows; a table
-of any length will do, since the index is joined, not broadcast by force.
+empty host and path and matches no rule; such rows are spread by their ids when verdicts are
+joined. Very long URLs are judged whole. An empty table gives an empty result. Repeated rows
+and null ids give a row each; columns other than those named are not read. Rules come from
+the caller as a list or as a frame (``RULE_ROWS``); a table of any length will do, since the
+index is joined, not broadcast by force.
 """
 
 from __future__ import annotations
@@ -55,15 +57,20 @@ HOST_RULES = [
     prefix_rule("com", "/fr/", "allow"),
     prefix_rule("com", "/de/", "block"),
 ]
+# Words of the host; neither a path nor a slash after the host is needed.
 METHOD_RULES = [
-    pattern_rule(r"^(?:[^/]*[.-])?casino[.-][^/]*/", ["casino"], "block"),
-    pattern_rule(r"^(?:[^/]*[.-])?bets?[.-][^/]*/", (), "block", either=["bet", "bets"]),
-    pattern_rule(r"^(?:[^/]*[.-])?pills[.-][^/]*/", ["pills"], "block"),
-    pattern_rule(r"^(?:[^/]*[.-])?ads-track[.-][^/]*/", ["ads", "track"], "block"),
+    pattern_rule(r"^(?:[^/]*[.-])?casino[.-]", ["casino"], "block"),
+    pattern_rule(r"^(?:[^/]*[.-])?bets?[.-]", (), "block", either=["bet", "bets"]),
+    pattern_rule(r"^(?:[^/]*[.-])?pills[.-]", ["pills"], "block"),
+    pattern_rule(r"^(?:[^/]*[.-])?ads-track[.-]", ["ads", "track"], "block"),
 ]
 DEFAULT = "allow"
 
-RULES = "rule string, pattern string, verdict string, rank int, rule_id int"
+# A frame of rules: of equal ranks the smallest rule_id decides.
+RULE_ROWS = ("rule_id long, rule string, pattern string, verdict string, rank int, "
+             "tokens array<string>, either array<string>")
+# Rows with an empty host are spread over so many groups.
+SPREAD = 1024
 
 
 def host_of(url: Column) -> Column:
@@ -82,34 +89,43 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.concat(host, path, F.lit("/"))), "[^a-z0-9]+"))
 
 
-def rule_index(spark: SparkSession, rules: list[Rule], urls: DataFrame) -> DataFrame:
+def rule_rows(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """A list of rules as a frame; earlier rules come first among equal ranks."""
+    rows = [(k, r.rule, r.pattern, r.verdict, r.rank, list(r.tokens), list(r.either)) for k, r in enumerate(rules)]
+    return constant_rows(spark, rows, RULE_ROWS)
+
+
+def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """Rules with the tokens that fetch them: the rarest of its tokens among the given
-    URLs' tokens, else each of its alternatives."""
-    named = constant_rows(spark, [(r.rule, r.pattern, r.verdict, r.rank, k) for k, r in enumerate(rules)], RULES)
-    tokens = constant_rows(spark, [(k, t) for k, r in enumerate(rules) for t in r.tokens or ("",) * (not r.either)],
-                         "rule_id int, token string")
+    URLs' tokens, else each of its alternatives, else the empty token."""
+    needed, either = (F.coalesce(c, F.array().cast("array<string>")) for c in ("tokens", "either"))
+    lists = rules.select("rule_id", F.transform(needed, F.lower).alias("needed"), F.transform(either, F.lower).alias("either"))
+    fixed = lists.where(F.size("needed") > 0).select("rule_id", F.explode("needed").alias("token"))
     # Only tokens of rules are counted.
     counts = (urls.select(F.explode("tokens").alias("token"))
-              .join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").count())
-    rarest = (tokens.join(counts, "token", "left").groupBy("rule_id")
+              .join(fixed.select("token").distinct(), "token", "left_semi").groupBy("token").count())
+    rarest = (fixed.join(counts, "token", "left").groupBy("rule_id")
               .agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("least"))
               .select("rule_id", F.col("least.token").alias("token")))
-    either = constant_rows(spark, [(k, t) for k, r in enumerate(rules) if not r.tokens for t in r.either],
-                           "rule_id int, token string")
-    return named.join(rarest.unionByName(either), "rule_id")
+    other = lists.where(F.size("needed") == 0).select("rule_id", F.explode(
+        F.when(F.size("either") > 0, F.array_distinct("either")).otherwise(F.array(F.lit("")))).alias("token"))
+    return rules.select("rule_id", "rule", "pattern", "verdict", "rank").join(rarest.unionByName(other), "rule_id")
 
 
-def judge(pages: DataFrame, rules: list[Rule], default: str = DEFAULT, key: str = "page_id") -> DataFrame:
-    """Host, path, deciding rule and verdict of the URL of each page."""
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, default: str = DEFAULT, key: str = "page_id") -> DataFrame:
+    """Host, path, deciding rule and verdict of the URL of each page. Rules are a list, or a
+    frame with the columns of ``RULE_ROWS`` whose rule_id is unique."""
     parsed = pages.select(F.col(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = parsed.select("host", "path").distinct().withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
-    index = rule_index(pages.sparkSession, rules, urls)
+    index = rule_index(rules if isinstance(rules, DataFrame) else rule_rows(pages.sparkSession, rules), urls)
     # F.rlike takes the pattern as a column: it runs for fetched rules only.
     matched = (urls.select("host", "path", F.explode("tokens").alias("token")).join(index, "token")
                .where((F.col("host") != "") & F.rlike(F.concat("host", "path"), F.col("pattern")))
                .groupBy("host", "path")
                .agg(F.max(F.struct("rank", (-F.col("rule_id")).alias("first"), "rule", "verdict")).alias("best"))
-               .select("host", "path", "best.rule", "best.verdict"))
-    return (parsed.join(matched, ["host", "path"], "left")
+               .select("host", "path", "best.rule", "best.verdict", F.lit(0).cast("long").alias("__spread")))
+    # No rule matches an empty host, so its rows need not meet in one group.
+    spread = F.when(F.col("host") == "", F.pmod(F.xxhash64(key), F.lit(SPREAD)) + 1).otherwise(0)
+    return (parsed.withColumn("__spread", spread).join(matched, ["host", "path", "__spread"], "left")
             .select(key, "host", "path", F.when(F.col("rule") != "", F.col("rule")).alias("rule"),
                     F.coalesce("verdict", F.lit(default)).alias("verdict")))
