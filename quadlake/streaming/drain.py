@@ -2,14 +2,14 @@
 
 One micro-batch works on all scheduled tasks at once: their data graphs are
 resolved, each graph is analysed once, and every output goes to a folder named
-by the batch, so a repeated batch overwrites what it wrote before.
+by the batch, under one commit record. The next batch sees all of it: reports and records
+of runs among the jobs, result graphs among the quads, and the states of tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +25,11 @@ from quadlake.plans.report import (
 )
 from quadlake.plans.shapes import Shape
 from quadlake.plans.validation import conforms, result_quads, validate
+from quadlake.quads import QUAD_SCHEMA
 from quadlake.session import cut
 from quadlake.sources.store import read_store
 from quadlake.streaming.change_feed import accepted, read_messages, scheduled
+from quadlake.streaming.journal import EVERY, Journal
 from quadlake.vocab import (
     BUSY, COVERAGE_OPERATION, COVERAGE_REPORT, FAILED, JOBS_GRAPH, LEGAL_MOVES, PUBLIC_GRAPH,
     RESULT_GRAPH_PREFIX, RESULT_PREFIX, SCHEDULED, SHACL_REPORT, SUCCESS, VALIDATION_OPERATION,
@@ -107,39 +109,47 @@ def drain(jobs: DataFrame, quads: DataFrame, shapes: list[Shape], run: str, now:
     }
 
 
+def last_changes(log: DataFrame) -> DataFrame:
+    """The last change of each task."""
+    return log.groupBy("task").agg(F.max(F.struct("ts", "id", "status")).alias("x")).select(
+        "task", "x.status", "x.ts", "x.id")
+
+
 def current_jobs(jobs: DataFrame, log: DataFrame) -> DataFrame:
     """The jobs after the status changes of the log."""
-    last = log.groupBy("task").agg(F.max(F.struct("ts", "id", "status")).alias("x"))
-    return update_status(jobs, last.select("task", "x.status", F.col("x.ts").alias("time")))
+    return update_status(jobs, last_changes(log).select("task", "status", F.col("ts").alias("time")))
+
+
+def feed_journal(spark: SparkSession, out: str, every: int = EVERY) -> Journal:
+    return Journal(spark, out, {"statuses": (CHANGE_SCHEMA, last_changes)}, every)
+
 
+def jobs_before(journal: Journal, jobs: DataFrame, batch: int) -> DataFrame:
+    """The stored jobs with what earlier batches wrote: links, records of runs, states."""
+    written = [journal.output(name, QUAD_SCHEMA, batch) for name in ("jobs", "reports")]
+    return current_jobs(union_of(jobs, *written), journal.state("statuses", batch))
 
-def read_log(spark: SparkSession, out: str, batch: int) -> DataFrame:
-    """Status changes that earlier batches wrote."""
-    try:
-        log = spark.read.schema(f"{CHANGE_SCHEMA}, batch bigint").parquet(f"{out}/statuses")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], CHANGE_SCHEMA)
-    return log.where(F.col("batch") < batch).drop("batch")
+
+def quads_before(journal: Journal, quads: DataFrame, batch: int) -> DataFrame:
+    """The stored quads with the result graphs and reports of earlier batches."""
+    return union_of(quads, *[journal.output(name, QUAD_SCHEMA, batch) for name in ("results", "reports")])
 
 
 def run_batch(messages: DataFrame, batch: int, jobs_path: str, quads_path: str, shapes: list[Shape],
-              out: str, now: Column | None = None) -> bool:
+              out: str, now: Column | None = None, every: int = EVERY) -> bool:
     """Handle one micro-batch; True if it had an accepted message.
 
-    Jobs are the stored quads with the status changes of earlier batches on
-    top, so a task is taken once, and a repeated batch sees what it saw before.
+    A task is taken once. A batch that was committed is not run again; one that was cut off
+    sees what it saw before and writes the same.
     """
     spark = messages.sparkSession
     if accepted(messages).isEmpty():
         return False
-    jobs = current_jobs(read_store(spark, jobs_path), read_log(spark, out, batch))
-    frames = drain(jobs, read_store(spark, quads_path), shapes, f"batch-{batch}",
-                   F.current_timestamp() if now is None else now)
-    # Statuses come last: they are what makes the next batch pass over the tasks.
-    for name in ("reports", "results", "jobs", "statuses"):
-        frames[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+    journal = feed_journal(spark, out, every)
+    if not journal.done(batch):
+        jobs = cut(jobs_before(journal, read_store(spark, jobs_path), batch))
+        quads = quads_before(journal, read_store(spark, quads_path), batch)
+        journal.write(batch, drain(jobs, quads, shapes, f"batch-{batch}", F.current_timestamp() if now is None else now))
     return True
 
 
@@ -161,15 +171,76 @@ def once(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
     return changes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def _moves_against(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    moves = status_moves(batch).join(stored.select("task", F.col("status").alias("stored")), "task", "left")
+    previous = F.coalesce("previous", "stored")
+    legal = previous.isNull() & (F.col("status") == SCHEDULED)
+    for old, new in LEGAL_MOVES:
+        legal = legal | ((previous == old) & (F.col("status") == new))
+    return moves.where(~F.coalesce(legal, F.lit(False))).select("task", "id", "ts", previous.alias("previous"), "status")
+
+
 def illegal_against(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """(task, previous, status): changes of a micro-batch that are no legal move.
 
     A change follows the one before it in the batch; the first of a task follows the
     stored state (task, status). A task that is unknown must begin as scheduled.
     """
-    moves = status_moves(batch).join(stored.select("task", F.col("status").alias("stored")), "task", "left")
-    previous = F.coalesce("previous", "stored")
-    legal = previous.isNull() & (F.col("status") == SCHEDULED)
-    for old, new in LEGAL_MOVES:
-        legal = legal | ((previous == old) & (F.col("status") == new))
-    return moves.where(~F.coalesce(legal, F.lit(False))).select("task", previous.alias("previous"), "status")
+    return _moves_against(batch, stored).select("task", "previous", "status")
+
+
+ILLEGAL_SCHEMA = "task string, id bigint, ts timestamp, previous string, status string"
+
+
+def state_journal(spark: SparkSession, out: str, every: int = EVERY) -> Journal:
+    return Journal(spark, out, {"settled": (CHANGE_SCHEMA, last_changes)}, every)
+
+
+def run_states_batch(changes: DataFrame, batch: int, out: str, delay: str = "1 hour", every: int = EVERY) -> None:
+    """Judge the changes of a micro-batch, in the order of their times.
+
+    Changes wait until the delay has passed, as an earlier one may still come. Then they are
+    judged against the settled states, which they replace. Tables: illegal (only grows),
+    settled (the changed states), pending and cutoff (each as of the batch).
+    """
+    spark = changes.sparkSession
+    journal = state_journal(spark, out, every)
+    if journal.done(batch):
+        return
+    new = cut(changes.select("task", "status", "ts", "id"))
+    if new.isEmpty():
+        return
+    known = cut(journal.latest("pending", CHANGE_SCHEMA, batch).unionByName(new).dropDuplicates(["id"]))
+    # The watermark's own precision is a millisecond.
+    reach = F.date_trunc("MILLISECOND", F.max("ts") - F.expr(f"INTERVAL {delay}"))
+    bounds = journal.latest("cutoff", "ts timestamp", batch).unionByName(known.agg(reach.alias("ts")))
+    cutoff = cut(bounds.agg(F.max("ts").alias("ts")))
+    # One row.
+    due = known.join(F.broadcast(cutoff.select(F.col("ts").alias("upto"))), F.col("ts") <= F.col("upto"), "left_semi")
+    left = known.join(due.select("id"), "id", "left_anti")
+    journal.write(batch, {
+        "illegal": _moves_against(due, journal.state("settled", batch)), "settled": last_changes(due),
+        "pending": left.select("task", "status", "ts", "id"), "cutoff": cutoff})
+
+
+def run_states(changes: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", every: int = EVERY):
+    """Start the stream that watches status changes (task, status, ts, id); returns the query.
+
+    Repeats are taken once. A change that comes after the delay has passed is dropped by the
+    watermark, as Spark does it (counted in the progress of the query).
+    """
+    return (
+        once(changes, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(lambda df, batch: run_states_batch(df, batch, out, delay, every))
+        .start()
+    )
+
+
+def illegal_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """All illegal moves seen, those of changes that still wait included."""
+    journal = state_journal(spark, out)
+    end = 2 ** 62
+    schema = spark.createDataFrame([], ILLEGAL_SCHEMA).schema
+    waiting = _moves_against(journal.latest("pending", CHANGE_SCHEMA, end), journal.state("settled", end))
+    return journal.output("illegal", schema, end).unionByName(waiting)
