@@ -460,6 +460,14 @@ family("in", found(SH_ + "keyword-in", f"in(values=literal {STR}  BUILDING liter
                    f"SELECT * FROM {values(SET, KEYWORD)} WHERE o NOT IN ('BUILDING', 'MACHINERY')", KEYWORD))
 family("sql", found(SH_ + "even-size", "sql(expr=CAST(value AS BIGINT) % 2 = 0)", "SPARQL",
                     f"SELECT * FROM {values(DIST, SIZE)} WHERE TRY_CAST(o AS BIGINT) % 2 <> 0", SIZE))
+family("record", found(
+    SH_ + "even-or-settled",
+    "sql(expr=CAST(value AS BIGINT) % 2 = 0 OR (license.n > 0 AND modified.least >= issued.most), "
+    f"fields=issued {DCT}issued license {LICENSE} modified {MOD})", "SPARQL",
+    f"SELECT v.* FROM {values(DIST, SIZE)} v JOIN (SELECT g, s, max(CASE WHEN p = '{DCT}issued' THEN o END) AS issued, "
+    f"count(CASE WHEN p = '{LICENSE}' THEN 1 END) AS licenses, min(CASE WHEN p = '{MOD}' THEN o END) AS modified "
+    "FROM quads GROUP BY g, s) r ON r.g = v.g AND r.s = v.s "
+    "WHERE NOT coalesce(TRY_CAST(v.o AS BIGINT) % 2 = 0 OR (licenses > 0 AND modified >= issued), FALSE)", SIZE))
 
 q("shacl_conforms", f", r AS ({OWNER}) SELECT g, count(r.f) = 0 AS conforms, count(r.f) AS results "
                     "FROM (SELECT DISTINCT g FROM quads) LEFT JOIN r USING (g) GROUP BY g")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadlake.operators.checks import severity_of
@@ -43,6 +43,26 @@ def _marks(keys: dict[str, tuple[int, int]], key: str, words: int) -> list[int]:
     return [1 << at[1] if at and at[0] == w else 0 for w in range(words)]
 
 
+def is_type() -> Column:
+    """Type quads: only there the object counts."""
+    return (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)
+
+
+def slots_of(spark: SparkSession, classes: list[str], properties: list[str]) -> DataFrame:
+    """(p, class, word, mark): the bit of each class and property; class is '' for properties."""
+    slots = [(RDF_TYPE, c, w, 1 << b) for c, (w, b) in bit_places(classes).items()]
+    slots += [(p, "", w, 1 << b) for p, (w, b) in bit_places(properties, len(classes)).items()]
+    return local_frame(spark, slots, "p string, class string, word int, mark bigint")
+
+
+def needs_of(spec: Iterable[Rule] | DataFrame | None) -> tuple[list[Rule], list[str], list[str]]:
+    """The rules, their classes, and the properties that need a bit."""
+    rules = as_rules(spec)
+    classes = list(dict.fromkeys(r.cls for r in rules))
+    # Every entity of a class has a type, so that property needs no bit.
+    return rules, classes, list(dict.fromkeys(r.property for r in rules if r.property != RDF_TYPE))
+
+
 def subject_bits(quads: DataFrame, classes: list[str], properties: list[str], below: DataFrame | None = None) -> DataFrame:
     """(g, s, s_kind, w0, w1...): the classes and properties of each subject as bits.
 
@@ -52,24 +72,20 @@ def subject_bits(quads: DataFrame, classes: list[str], properties: list[str], be
     each type quad finds them in one row per word, and no subject is repeated per class.
     """
     at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
-    slots = [(RDF_TYPE, c, w, 1 << b) for c, (w, b) in at_class.items()]
-    slots += [(p, "", w, 1 << b) for p, (w, b) in at_property.items()]
-    table = local_frame(quads.sparkSession, slots, "p string, class string, word int, mark bigint")
-    # The object counts in type quads only.
-    is_type = (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)
+    table = slots_of(quads.sparkSession, classes, properties)
     relevant = quads.where(
         F.col("p").isin(*properties) | ((F.col("p") == RDF_TYPE) & F.col("o").isin(*classes)))
-    marks = relevant.select("g", *SUBJECT, "p", F.when(is_type, F.col("o")).otherwise("").alias("class")) \
+    marks = relevant.select("g", *SUBJECT, "p", F.when(is_type(), F.col("o")).otherwise("").alias("class")) \
         .join(F.broadcast(table), ["p", "class"])
     if below is not None:
         above = [(c, w, 1 << b) for c, (w, b) in at_class.items()]
         names = F.broadcast(local_frame(quads.sparkSession, above, "class string, word int, mark bigint"))
         # Written first, so the planner knows its size and broadcasts it where it is small.
         up = cut(below.join(names, "class").groupBy("g", F.col("sub").alias("class"), "word").agg(F.bit_or("mark").alias("mark")))
-        typed = quads.where(is_type).select("g", *SUBJECT, F.col("o").alias("class"))
+        typed = quads.where(is_type()).select("g", *SUBJECT, F.col("o").alias("class"))
         marks = marks.select("g", *SUBJECT, "word", "mark").unionByName(
             typed.join(up, ["g", "class"]).select("g", *SUBJECT, "word", "mark"))
-    words = max(w for _, _, w, _ in slots) + 1 if slots else 1
+    words = max((w for w, _ in (*at_class.values(), *at_property.values())), default=0) + 1
     zero = F.lit(0).cast("bigint")
     return marks.groupBy("g", *SUBJECT).agg(*[
         F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("mark"))), zero).alias(f"w{w}")
@@ -83,18 +99,22 @@ def coverage(quads: DataFrame, spec: Iterable[Rule] | DataFrame | None = None) -
     entities_with_property, violation_count. Every graph of the quads gets every
     rule, with zeros where it has no entity of the class.
     """
-    spark = quads.sparkSession
-    rules = as_rules(spec)
-    classes = list(dict.fromkeys(r.cls for r in rules))
-    # Every entity of a class has a type, so that property needs no bit.
-    properties = list(dict.fromkeys(r.property for r in rules if r.property != RDF_TYPE))
-    at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
+    rules, classes, properties = needs_of(spec)
     bits = subject_bits(quads, classes, properties)
     words = [c for c in bits.columns if c.startswith("w")]
     profiles = bits.groupBy("g", *words).agg(F.count(F.lit(1)).alias("n"))
+    return coverage_of(profiles, quads.select("g").distinct(), rules)
+
+
+def coverage_of(profiles: DataFrame, graphs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Coverage from profiles (g, w0, w1..., n), how many subjects have the same bits, for the given graphs (g)."""
+    spark = profiles.sparkSession
+    _, classes, properties = needs_of(rules)
+    at_class, at_property = bit_places(classes), bit_places(properties, len(classes))
+    words = [c for c in profiles.columns if c.startswith("w")]
     # Graphs without any relevant quad take part with no entities.
     zero = F.lit(0).cast("bigint")
-    graphs = quads.select("g").distinct().select("g", *[zero.alias(w) for w in words], zero.alias("n"))
+    graphs = graphs.select("g", *[zero.alias(w) for w in words], zero.alias("n"))
 
     needs = local_frame(
         spark,

@@ -14,6 +14,7 @@ of nesting, never over shapes, graphs or nodes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -59,6 +60,10 @@ NODE_KINDS = {
 }
 
 
+# Columns that the table of value tests brings along.
+_RULE_COLUMNS = ("rule", "component", "arg", "arg_dt", "arg_int", "args", "bound", "bound_class")
+
+
 def component_iri(component: str) -> str:
     return f"{SH}{COMPONENT_NAMES[component]}ConstraintComponent"
 
@@ -340,7 +345,7 @@ def _pattern(value: Column, kind: Column, p) -> Column:
 
 
 def _expression(expr: str) -> Column:
-    """A Spark SQL condition over value, value_kind, value_dt, value_lang, focus, g."""
+    """A Spark SQL condition over value, value_kind, value_dt, value_lang, focus, g, and the named fields."""
     return F.expr(expr)
 
 
@@ -650,7 +655,15 @@ def _level_findings(at: _Level, bad: DataFrame | None, level: int) -> DataFrame
             parts.append(_counts(at.focus(other), at.values(complex_) if complex_ else None, quads, rules, other))
         return _union(parts)
 
-    family(VALUE_TESTS, lambda x: _value_tests(_sql_names(at.values(x)), x))
+    def value_tests(found: list) -> DataFrame:
+        over_record = [x for x in found if x[3].get("fields")]
+        plain = [x for x in found if not x[3].get("fields")]
+        parts = [_value_tests(_sql_names(at.values(plain)), plain)] if plain else []
+        if over_record:
+            parts.append(_value_tests(_with_fields(_sql_names(at.values(over_record)), quads, over_record), over_record))
+        return _union(parts)
+
+    family(VALUE_TESTS, value_tests)
     family(("minCount", "maxCount"), counts)
     family(("class",), lambda x: _classes(at.values(x), quads, rules, x))
     family(("hasValue",), lambda x: _has_value(at.focus(x), at.values(x), x))
@@ -669,6 +682,35 @@ def _sql_names(values: DataFrame) -> DataFrame:
         "value_lang": F.col("v_lang"), "focus": F.col("f"), "focus_kind": F.col("f_kind")})
 
 
+def _with_fields(values: DataFrame, quads: DataFrame, found: list) -> DataFrame:
+    """The values with a column for each named predicate of the focus node.
+
+    Custom conditions name predicates in ``fields``, a name and a predicate per line. The
+    column is a struct: least and most, the first and last of the focus's objects as
+    texts, and n, how many there are. Only the named predicates are read, and a focus with
+    very many objects stays one small row.
+    """
+    named: dict[str, str] = {}
+    for _, _, _, p in found:
+        for line in _listed(p, "fields"):
+            name, _, predicate = line.partition(" ")
+            if not re.fullmatch("[a-z][a-z0-9_]*", name) or not predicate:
+                raise ValueError(f"a field is a name and a predicate: {line}")
+            if name in (*values.columns, *_RULE_COLUMNS):
+                raise ValueError(f"the name {name} has a meaning of its own")
+            if named.setdefault(name, predicate) != predicate:
+                raise ValueError(f"{name} stands for two predicates")
+    here = quads.where(F.col("p").isin(*sorted(set(named.values()))))
+    fields = []
+    for name, predicate in named.items():
+        it = F.when(F.col("p") == predicate, F.col("o"))
+        fields.append(F.struct(F.min(it).alias("least"), F.max(it).alias("most"), F.count(it).alias("n")).alias(name))
+    record = here.groupBy("g", F.col("s").alias("f"), F.col("s_kind").alias("f_kind")).agg(*fields)
+    none = F.struct(F.lit(None).cast("string").alias("least"), F.lit(None).cast("string").alias("most"),
+                    F.lit(0).cast("bigint").alias("n"))
+    return values.join(record, ["g", "f", "f_kind"], "left").withColumns({x: F.coalesce(x, none) for x in named})
+
+
 def _findings(quads: DataFrame, rules: _Rules) -> DataFrame | None:
     depth = max(rules.level, default=0)
     levels: list[_Level] = []

@@ -529,7 +529,7 @@ def _family(name: str) -> None:
 
 
 for _name in ("count", "class", "datatype", "nodekind", "range", "string", "lang", "pair", "less_than",
-              "logic", "node", "qualified", "closed", "hasvalue", "in", "sql"):
+              "logic", "node", "qualified", "closed", "hasvalue", "in", "sql", "record"):
     _family(_name)
 
 

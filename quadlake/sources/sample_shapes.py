@@ -125,6 +125,9 @@ FAMILIES: dict[str, list[Shape]] = {
     "in": [shape(_id("keyword-in"), ("in", {"values": "\n".join(
         term_entry(literal(x)) for x in ("BUILDING", "MACHINERY"))}), targets=DATASET, path=DCAT + "keyword")],
     "sql": [shape(_id("even-size"), ("sql", {"expr": "CAST(value AS BIGINT) % 2 = 0"}), targets=DISTRIBUTION, path=SIZE)],
+    "record": [shape(_id("even-or-settled"), ("sql", {
+        "expr": "CAST(value AS BIGINT) % 2 = 0 OR (license.n > 0 AND modified.least >= issued.most)",
+        "fields": f"issued {ISSUED}\nlicense {DCT}license\nmodified {MODIFIED}"}), targets=DISTRIBUTION, path=SIZE)],
 }
 
 BASE = mandatory_shapes() + [LESS_THAN, MIN_SIZE, ENGLISH]
