@@ -160,6 +160,7 @@ LEFT JOIN ({PROPS}) w ON w.g = gr.g AND w.class = sp.class AND w.property = sp.p
 
 COVERAGE = coverage("SELECT DISTINCT g FROM quads")
 q("coverage", COVERAGE)
+q("coverage_standing", f", later AS MATERIALIZED (SELECT * FROM quads WHERE p <> '{DCT}license')\n" + COVERAGE.replace("quads", "later"))
 q("coverage_total", f"SELECT g, CAST(sum(violation_count) AS BIGINT) AS total_violations FROM ({COVERAGE}) GROUP BY g")
 q("severity_lookup", f"SELECT severity, CAST(sum(violation_count) AS BIGINT) AS violations FROM ({COVERAGE}) GROUP BY 1")
 q("coverage_nested", f"""
@@ -284,6 +285,7 @@ j("task_illegal_moves", f"""SELECT task, id, previous, status FROM (
   SELECT *, lag(status) OVER (PARTITION BY task ORDER BY ts, id) AS previous FROM changes)
 WHERE NOT ((previous IS NULL AND status = '{SCHEDULED}') OR coalesce((previous, status) IN (('{SCHEDULED}', '{BUSY}'),
   ('{BUSY}', '{STATUS_PREFIX}success'), ('{BUSY}', '{STATUS_PREFIX}failed')), FALSE))""")
+ORACLE["task_illegal_stream"] = ORACLE["task_illegal_moves"]
 
 # -- validation ------------------------------------------------------------
 

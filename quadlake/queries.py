@@ -18,6 +18,7 @@ from quadlake.session import checkpoint_folder, cut, tune
 from quadlake.sources import buckets, derived, nquads, sample_shapes, store
 from quadlake.spec import CLASSES, RULES, TYPOS
 from quadlake.streaming import change_feed, drain
+from quadlake.streaming.standing import StandingCoverage
 from quadlake.vocab import (
     BUSY, CONTENT, COVERAGE_JOB, COVERAGE_OPERATION, COVERAGE_REPORT, CREATED, DCAT, DCT,
     FAILED, FOAF, HEADERS, INPUT_CONTAINER, IRI, OPERATION, PUBLIC_GRAPH, RDF_TYPE, REQUEST_PREFIX,
@@ -502,6 +503,29 @@ def task_illegal_moves(spark, sf_dir):
     return job.illegal_moves(derived.status_changes(spark, sf_dir)).select("task", "id", "previous", "status")
 
 
+@tables
+def task_illegal_stream(spark, sf_dir):
+    """The same from the running stream, started twice; its second lot repeats changes of the first."""
+    root = f"{checkpoint_folder(spark)}/changes-{uuid.uuid4()}"
+    changes = derived.status_changes(spark, sf_dir)
+    middle = changes.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("ts")).first().ts
+    for lot in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle) - F.expr("INTERVAL 30 MINUTES")):
+        changes.where(lot).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(drain.CHANGE_SCHEMA).parquet(f"{root}/in")
+        drain.run_states(stream, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return drain.illegal_so_far(spark, f"{root}/out").select("task", "id", "previous", "status")
+
+
+@catalogue
+def coverage_standing(q):
+    """Coverage kept from three batches: titles come later, licences go again."""
+    standing = StandingCoverage(q.sparkSession, f"{checkpoint_folder(q.sparkSession)}/standing-{uuid.uuid4()}", every=2)
+    standing.change(0, q.where(F.col("p") != DCT + "title"))
+    standing.change(1, q.where(F.col("p") == DCT + "title"))
+    standing.change(2, q.where("false"), q.where(F.col("p") == DCT + "license"))
+    return standing.coverage()
+
+
 # -- validation ------------------------------------------------------------
 
 @catalogue
