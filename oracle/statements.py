@@ -485,6 +485,13 @@ q("shacl_result_quads", BASE + union(
             ("result_id", SH + "sourceConstraintComponent", "component", ""), ("result_id", SH + "resultMessage", "label", STR),
             ("result_id", SH + "focusNode", "f", "")),
     f"SELECT {RG}, result_id, 'iri', '{SH}value', v, v_kind, v_dt, v_lang FROM r WHERE v IS NOT NULL"))
+REPORT = f"'{SKOLEM_BASE}' || " + sha("'report'", "g", RG)
+q("shacl_report_quads", BASE.rstrip() + f""", v AS (SELECT g, count(r.f) AS n FROM (SELECT DISTINCT g FROM quads) LEFT JOIN r USING (g) GROUP BY g)
+SELECT {RG} AS g, {REPORT} AS s, 'iri' AS s_kind, '{TYPE}' AS p, '{SH}ValidationReport' AS o, 'iri' AS o_kind, '' AS o_dt, '' AS o_lang FROM v
+UNION ALL SELECT {RG}, {REPORT}, 'iri', '{SH}conforms', CASE WHEN n = 0 THEN 'true' ELSE 'false' END, 'literal', '{XSD}boolean', '' FROM v
+UNION ALL SELECT {RG}, {REPORT}, 'iri', '{SH}result', result_id, 'iri', '', '' FROM r""")
+q("shacl_reports_read", f", r AS ({OWNER}) SELECT {RG} AS g, count(r.f) = 0 AS conforms, count(r.f) AS results "
+                        "FROM (SELECT DISTINCT g FROM quads) LEFT JOIN r USING (g) GROUP BY g")
 q("shacl_results_read", BASE + f"""SELECT {RG} AS g, result_id, f AS focus, 'iri' AS focus_kind, path, shape, severity FROM r""")
 ROLLED = f"""SELECT r.g, t.o AS class, r.path, r.shape, r.severity, count(DISTINCT result_id) AS count
 FROM r JOIN quads t ON t.g = r.g AND t.s = r.f AND t.p = '{TYPE}' AND t.o IN ({FOUR}) GROUP BY ALL"""

@@ -32,7 +32,7 @@ from quadlake.plans.shapes import NESTED, VALUE_TESTS, Shape, from_frame
 from quadlake.quads import OBJECT, SUBJECT, of_type
 from quadlake.session import cut, local_frame
 from quadlake.vocab import (
-    BNODE, IRI, LITERAL, RDF_TYPE, SH, SKOLEM_BASE, SUBCLASS_OF, XSD_STRING,
+    BNODE, IRI, LITERAL, RDF_TYPE, SH, SKOLEM_BASE, SUBCLASS_OF, XSD_BOOLEAN, XSD_STRING,
 )
 
 _F = ["f", "f_kind", "f_dt", "f_lang"]
@@ -815,6 +815,32 @@ def result_quads(results: DataFrame, graph: Column | str) -> DataFrame:
     return quads.unionByName(terms)
 
 
+def report_quads(results: DataFrame, verdicts: DataFrame, graph: Column | str) -> DataFrame:
+    """The report node of each graph of the verdicts (see ``conforms``): its type, its
+    conformance, and a quad to each of its results. A clean graph has a report too.
+
+    graph names the result graph by columns that both frames have.
+    """
+    g = F.lit(graph) if isinstance(graph, str) else graph
+    node = mint(SKOLEM_BASE, F.lit("report"), "g", g)
+    heads = insert(verdicts, graph, [
+        link(node, RDF_TYPE, SH + "ValidationReport"),
+        text(node, SH + "conforms", F.col("conforms").cast("string"), XSD_BOOLEAN)])
+    return heads.unionByName(insert(results, graph, [link(node, SH + "result", F.col("result_id"))]))
+
+
+def reports_from_quads(quads: DataFrame) -> DataFrame:
+    """(g, report, conforms, results) of stored result graphs; g is the result graph.
+
+    conforms is what the report says, results how many it names.
+    """
+    reports = star(quads, {"conforms": SH + "conforms"}, SH + "ValidationReport")
+    named = match(quads, p=SH + "result").groupBy("g", *SUBJECT).agg(F.count(F.lit(1)).alias("results"))
+    return reports.join(named, ["g", *SUBJECT], "left").select(
+        "g", F.col("s").alias("report"), (F.col("conforms") == "true").alias("conforms"),
+        F.coalesce("results", F.lit(0).cast("bigint")).alias("results"))
+
+
 def results_from_quads(quads: DataFrame) -> DataFrame:
     """(g, result_id, focus, focus_kind, path, shape, severity) of stored result graphs.
 

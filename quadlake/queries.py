@@ -573,6 +573,22 @@ def shacl_result_quads(q):
     return validation.result_quads(_base(q), graph)
 
 
+@catalogue
+def shacl_report_quads(q):
+    graph = F.concat(F.lit(RESULT_GRAPH_PREFIX), F.sha2("g", 256))
+    results = cut(_base(q))
+    return validation.report_quads(results, validation.conforms(q, results), graph)
+
+
+@catalogue
+def shacl_reports_read(q):
+    """Report nodes written as quads of result graphs and read back; a graph of one clean shape has one too."""
+    graph = F.concat(F.lit(RESULT_GRAPH_PREFIX), F.sha2("g", 256))
+    results = cut(validation.validate(q, [sample_shapes.OWNER]))
+    stored = cut(validation.report_quads(results, validation.conforms(q, results), graph))
+    return validation.reports_from_quads(stored).drop("report")
+
+
 @catalogue
 def shacl_results_read(q):
     """Results written as quads of result graphs and read back."""

@@ -24,7 +24,7 @@ from quadlake.plans.report import (
     coverage_summary, report_text, rollup, summary_iri, validation_summary,
 )
 from quadlake.plans.shapes import Shape
-from quadlake.plans.validation import conforms, result_quads, validate
+from quadlake.plans.validation import conforms, report_quads, result_quads, validate
 from quadlake.quads import QUAD_SCHEMA
 from quadlake.session import cut
 from quadlake.sources.store import read_store
@@ -103,7 +103,7 @@ def drain(jobs: DataFrame, quads: DataFrame, shapes: list[Shape], run: str, now:
     final = F.when(F.col("data_graph").isNull(), FAILED).otherwise(SUCCESS)
     return {
         "reports": union_of(coverage_quads, record_quads(runs), summaries),
-        "results": result_quads(results, result_graph),
+        "results": union_of(result_quads(results, result_graph), report_quads(results, verdicts, result_graph)),
         "jobs": union_of(reports, attach_results(jobs, outcomes, run)),
         "statuses": union_of(_changes(due, BUSY, now, 1), _changes(due, final, now, 2)),
     }

@@ -4,10 +4,12 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from test_validation import C, violations
 
 from quadlake.plans.coverage import coverage
 from quadlake.plans.shapes import shape
+from quadlake.plans.validation import conforms, report_quads, reports_from_quads, result_quads, results_from_quads, validate
 from quadlake.quads import literal
 from quadlake.sources.buckets import create_buckets, read_buckets
 from quadlake.spec import RULES
@@ -65,3 +67,15 @@ def test_names_of_fields(make, fields):
     rule = ("sql", {"expr": "true", "fields": fields})
     with pytest.raises(ValueError):
         violations(make, [("a", RDF_TYPE, "C"), ("a", "p", literal("v"))], shape("s", rule, targets=C, path="p"), columns=("focus",))
+
+
+def test_report_nodes(make):
+    q = make(("g1", "a", RDF_TYPE, "C"), ("g1", "b", RDF_TYPE, "C"), ("g2", "c", RDF_TYPE, "C"), ("g2", "c", "p", "x"))
+    results = validate(q, [shape("s", ("minCount", {"count": "1"}), targets=C, path="p")])
+    graph = F.concat(F.lit("urn:r:"), "g")
+    written = report_quads(results, conforms(q, results), graph).unionByName(result_quads(results, graph))
+    assert rows(reports_from_quads(written), "g", "conforms", "results") == [("urn:r:g1", False, 2), ("urn:r:g2", True, 0)]
+    ids = {r.result_id for r in results.collect()}
+    assert {r.o for r in written.where(F.col("p").endswith("#result")).collect()} == ids
+    # Stored results are read as before.
+    assert results_from_quads(written).count() == 2
