@@ -57,6 +57,9 @@ FAILED = STATUS_PREFIX + "failed"
 WRITE_BATCH = 100
 
 RDF_TYPE = RDF + "type"
+RDF_FIRST = RDF + "first"
+RDF_REST = RDF + "rest"
+RDF_NIL = RDF + "nil"
 LANG_STRING = RDF + "langString"
 SUBCLASS_OF = RDFS + "subClassOf"
 XSD_STRING = XSD + "string"
