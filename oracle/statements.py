@@ -427,11 +427,12 @@ def itself(where: str) -> str:
 
 
 HR, HL, HF = SH_ + "has-rights", SH_ + "has-license", SH_ + "has-format"
-family("logic",
-       found(SH_ + "rights-xor-license", f"xone(shapes={HR} {HL})", "Xone", itself(f"{has(RIGHTS)} = {has(LICENSE)}")),
-       found(SH_ + "rights-or-license", f"or(shapes={HR} {HL})", "Or", itself(f"NOT {has(RIGHTS)} AND NOT {has(LICENSE)}")),
-       found(SH_ + "rights-and-format", f"and(shapes={HR} {HF})", "And", itself(f"NOT ({has(RIGHTS)} AND {has(DCT + 'format')})")),
-       found(SH_ + "no-license", f"not(shapes={HL})", "Not", itself(has(LICENSE))))
+LOGIC = [
+    found(SH_ + "rights-xor-license", f"xone(shapes={HR} {HL})", "Xone", itself(f"{has(RIGHTS)} = {has(LICENSE)}")),
+    found(SH_ + "rights-or-license", f"or(shapes={HR} {HL})", "Or", itself(f"NOT {has(RIGHTS)} AND NOT {has(LICENSE)}")),
+    found(SH_ + "rights-and-format", f"and(shapes={HR} {HF})", "And", itself(f"NOT ({has(RIGHTS)} AND {has(DCT + 'format')})")),
+    found(SH_ + "no-license", f"not(shapes={HL})", "Not", itself(has(LICENSE)))]
+family("logic", *LOGIC)
 DISTS = values(SET, DCAT + "distribution")
 family("node",
        found(SH_ + "all-rights", f"node(shapes={HR})", "Node", f"SELECT * FROM {DISTS} f WHERE NOT {has(RIGHTS, 'f.o')}", DCAT + "distribution"),
@@ -493,6 +494,31 @@ UNION ALL SELECT {RG}, {REPORT}, 'iri', '{SH}result', result_id, 'iri', '', '' F
 q("shacl_reports_read", f", r AS ({OWNER}) SELECT {RG} AS g, count(r.f) = 0 AS conforms, count(r.f) AS results "
                         "FROM (SELECT DISTINCT g FROM quads) LEFT JOIN r USING (g) GROUP BY g")
 q("shacl_results_read", BASE + f"""SELECT {RG} AS g, result_id, f AS focus, 'iri' AS focus_kind, path, shape, severity FROM r""")
+def along(source: str, having: str) -> str:
+    """Focus nodes by the number of their different value nodes; source has g, s and the object columns of a value."""
+    term = "concat_ws('|', o_kind, o_dt, o_lang, o)"
+    return f"SELECT g, s FROM ({source}) GROUP BY g, s HAVING count(DISTINCT CASE WHEN o IS NOT NULL THEN {term} END) {having}"
+
+
+_SEQUENCE, _EITHER = f"<{DCAT}dataset>/<{DCAT}distribution>", f"(<{LICENSE}>|<{RIGHTS}>)"
+_BACK = f"^(<{DCAT}distribution>|<{DCAT}record>)/^<{DCAT}dataset>"
+ALONG = [
+    found(SH_ + "along-sequence", "maxCount(count=2)", "MaxCount", along(
+        f"SELECT a.g, a.s, b.o, {IRI_COLS} FROM {values(CAT, DCAT + 'dataset')} a JOIN quads b ON b.g = a.g AND b.s = a.o "
+        f"AND b.p = '{DCAT}distribution'", "> 2"), _SEQUENCE, False),
+    found(SH_ + "along-alternative", "minCount(count=2)", "MinCount", along(
+        f"SELECT f.g, f.s, x.o, x.o_kind, x.o_dt, x.o_lang FROM {focus(DIST)} f LEFT JOIN quads x ON x.g = f.g AND x.s = f.s "
+        f"AND x.p IN ('{LICENSE}', '{RIGHTS}')", "< 2"), _EITHER, False),
+    found(SH_ + "along-inverse", "maxCount(count=0)", "MaxCount", along(
+        f"SELECT f.g, f.s, x.s AS o, {IRI_COLS} FROM {focus(REC)} f JOIN quads x ON x.g = f.g AND x.o = f.s AND x.p = '{DCAT}record'",
+        "> 0"), f"^<{DCAT}record>", False),
+    found(SH_ + "along-back", "maxCount(count=0)", "MaxCount", along(
+        f"SELECT f.g, f.s, y.s AS o, {IRI_COLS} FROM {focus(DIST)} f JOIN quads x ON x.g = f.g AND x.o = f.s "
+        f"AND x.p IN ('{DCAT}distribution', '{DCAT}record') JOIN quads y ON y.g = x.g AND y.o = x.s AND y.p = '{DCAT}dataset'",
+        "> 0"), _BACK, False, severity=SH + "Warning")]
+q("shacl_result_paths", f", r AS (SELECT *, {RID} AS result_id FROM ({union(*ALONG)})) "
+                        f"SELECT {RG} AS g, result_id, f AS focus, 'iri' AS focus_kind, path, shape, severity FROM r")
+family("shapes_graph", *MANDATORY, LESS, MIN_SIZE, ENGLISH, *ALONG, *LOGIC)
 ROLLED = f"""SELECT r.g, t.o AS class, r.path, r.shape, r.severity, count(DISTINCT result_id) AS count
 FROM r JOIN quads t ON t.g = r.g AND t.s = r.f AND t.p = '{TYPE}' AND t.o IN ({FOUR}) GROUP BY ALL"""
 q("shacl_rollup", BASE + ROLLED)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadlake.functions.terms import mint
 from quadlake.quads import OBJECT, QUAD, SUBJECT
 from quadlake.session import checkpoint_folder, cut
-from quadlake.vocab import IRI, RDF_FIRST, RDF_NIL, RDF_REST, SKOLEM_BASE
+from quadlake.vocab import IRI, LITERAL, RDF_FIRST, RDF_NIL, RDF_REST, SKOLEM_BASE
 
 _CELL = ["g", "n", "n_kind"]
 _HEAD = ["head", "head_kind"]
@@ -70,12 +70,13 @@ def list_members(quads: DataFrame) -> DataFrame:
     is_end = (F.col("to") == RDF_NIL) & (F.col("to_kind") == IRI)
     total = cells.count()
     followed = cells.where(~is_end).select("g", F.col("to").alias("n"), F.col("to_kind").alias("n_kind"))
-    named = quads.where(~F.col("p").isin(RDF_REST, RDF_FIRST)).select(
+    # The keys of the cells are the right side: where they are few, the quads are not shuffled.
+    named = quads.where(~F.col("p").isin(RDF_REST, RDF_FIRST) & (F.col("o_kind") != LITERAL)).select(
         "g", F.col("o").alias("n"), F.col("o_kind").alias("n_kind"))
     # A member that is a list itself is named by rdf:first.
     inner = cells.select("g", F.col("o").alias("n"), F.col("o_kind").alias("n_kind"))
     heads = cells.select(*_CELL).join(followed, _CELL, "left_anti").unionByName(
-        cells.select(*_CELL).join(named.unionByName(inner), _CELL, "left_semi")).distinct()
+        named.unionByName(inner).join(cells.select(*_CELL), _CELL, "left_semi")).distinct()
     start = heads.select("g", F.col("n").alias("head"), F.col("n_kind").alias("head_kind"), "n", "n_kind",
                          F.lit(0).cast("bigint").alias("place"))
     folder = f"{checkpoint_folder(spark).rstrip('/')}/lists-{uuid.uuid4()}"

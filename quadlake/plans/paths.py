@@ -25,7 +25,7 @@ INVERSE = SH + "inversePath"
 ALTERNATIVE = SH + "alternativePath"
 
 _IRI_TEXT = r"<[^>]*>"
-_STEP_TEXT = rf"(\^?(?:{_IRI_TEXT}|\((?:{_IRI_TEXT}\|?)+\))[?+*]?)"
+STEP_TEXT = rf"(\^?(?:{_IRI_TEXT}|\((?:{_IRI_TEXT}\|?)+\))[?+*]?)"
 _KEY = ["g", "node", "node_kind"]
 
 
@@ -51,7 +51,7 @@ def path_quads(paths: DataFrame) -> DataFrame:
     the same path under the same node is written once however often it is given.
     """
     complex_ = paths.where(F.col("path").rlike("[<^]")).select("g", "node", "path").distinct()
-    steps = complex_.withColumn("parts", F.regexp_extract_all("path", F.lit(_STEP_TEXT), 1))
+    steps = complex_.withColumn("parts", F.regexp_extract_all("path", F.lit(STEP_TEXT), 1))
     several = F.size("parts") > 1
     listed = _listed(steps.where(several), F.col("parts"), mint(SKOLEM_BASE, F.lit("step"), "head", F.col("place").cast("string")))
     plain = F.col("part").rlike(f"^{_IRI_TEXT}$")
@@ -144,3 +144,22 @@ def path_texts(quads: DataFrame, members: DataFrame | None = None) -> DataFrame:
             break
         rounds.append(fresh)
     return known.where("layer > 0").select(*_KEY, "path")
+
+
+def result_path_quads(results: DataFrame, graph: Column | str) -> DataFrame:
+    """The structure of the paths that results name, under the nodes ``result_quads`` gives them.
+
+    Each path is written once a graph. The results are read once more: store or cut them first.
+    """
+    g = F.lit(graph) if isinstance(graph, str) else graph
+    return path_quads(results.select(g.alias("g"), mint(SKOLEM_BASE, "path").alias("node"), "path"))
+
+
+def with_path_texts(results: DataFrame, quads: DataFrame) -> DataFrame:
+    """Results of stored result graphs (``results_from_quads``) with the texts of their paths.
+
+    A path without a structure in its graph keeps the IRI that it has.
+    """
+    texts = path_texts(quads).where(F.col("node_kind") == IRI).select("g", F.col("node").alias("path"), F.col("path").alias("path_text"))
+    found = results.join(texts, ["g", "path"], "left")
+    return found.withColumn("path", F.coalesce("path_text", "path")).select(*results.columns)

@@ -12,7 +12,7 @@ from quadlake.functions.terms import mint
 from quadlake.operators import checks, counts, joins, records, scan
 from quadlake.plans import coverage as cov
 from quadlake.plans import jobs as job
-from quadlake.plans import report, validation
+from quadlake.plans import paths, report, shape_graph, validation
 from quadlake.quads import OBJECT, QUAD, literal
 from quadlake.session import checkpoint_folder, cut, tune
 from quadlake.sources import buckets, derived, nquads, sample_shapes, store
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 REGION = "urn:g:region:1"
 OPERATIONS = [COVERAGE_OPERATION, VALIDATION_OPERATION]
 RUN = "run-1"
+SHAPES_GRAPH = "urn:g:shapes"
 PROPERTIES = sorted({r.property for r in RULES})
 # A moment after all events, for status changes.
 NOW = "2024-02-01 00:00:00"
@@ -596,6 +597,23 @@ def shacl_results_read(q):
     return validation.results_from_quads(cut(validation.result_quads(_base(q), graph)))
 
 
+@catalogue
+def shacl_result_paths(q):
+    """Results along paths of several steps, stored with the structure of the paths, and their texts read back."""
+    graph = F.concat(F.lit(RESULT_GRAPH_PREFIX), F.sha2("g", 256))
+    results = cut(validation.validate(q, sample_shapes.ALONG))
+    stored = cut(joins.union_of(validation.result_quads(results, graph), paths.result_path_quads(results, graph)))
+    return paths.with_path_texts(validation.results_from_quads(stored), stored)
+
+
+@catalogue
+def shacl_shapes_graph(q):
+    """Validation against shapes read from the lines of a shapes graph."""
+    shapes = sample_shapes.BASE + sample_shapes.ALONG + sample_shapes.FAMILIES["logic"]
+    lines = nquads.format_lines(shape_graph.shape_quads(q.sparkSession, shapes, SHAPES_GRAPH))
+    return _shown(validation.validate(q, shape_graph.shapes_from_quads(nquads.parse_lines(lines))))
+
+
 @catalogue
 def shacl_rollup(q):
     return report.rollup(_base(q), q)

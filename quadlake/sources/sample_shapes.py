@@ -130,4 +130,14 @@ FAMILIES: dict[str, list[Shape]] = {
         "fields": f"issued {ISSUED}\nlicense {DCT}license\nmodified {MODIFIED}"}), targets=DISTRIBUTION, path=SIZE)],
 }
 
+# Counts over paths of several steps, most of which fail.
+ALONG = [
+    shape(_id("along-sequence"), ("maxCount", {"count": "2"}), targets=CATALOG,
+          path=[("", DCAT + "dataset"), ("", DCAT + "distribution")]),
+    shape(_id("along-alternative"), ("minCount", {"count": "2"}), targets=DISTRIBUTION, path=[("", f"{DCT}license|{DCT}rights")]),
+    shape(_id("along-inverse"), ("maxCount", {"count": "0"}), targets=RECORD, path=[("^", DCAT + "record")]),
+    shape(_id("along-back"), ("maxCount", {"count": "0"}), targets=DISTRIBUTION,
+          path=[("^", f"{DCAT}distribution|{DCAT}record"), ("^", DCAT + "dataset")], severity=SH + "Warning"),
+]
+
 BASE = mandatory_shapes() + [LESS_THAN, MIN_SIZE, ENGLISH]

@@ -20,6 +20,7 @@ from quadlake.plans.jobs import (
     actionable_tasks, attach_results, data_graphs, link_report, record_quads,
     status_moves, task_endpoints, task_jobs, update_status,
 )
+from quadlake.plans.paths import result_path_quads
 from quadlake.plans.report import (
     coverage_summary, report_text, rollup, summary_iri, validation_summary,
 )
@@ -103,7 +104,8 @@ def drain(jobs: DataFrame, quads: DataFrame, shapes: list[Shape], run: str, now:
     final = F.when(F.col("data_graph").isNull(), FAILED).otherwise(SUCCESS)
     return {
         "reports": union_of(coverage_quads, record_quads(runs), summaries),
-        "results": union_of(result_quads(results, result_graph), report_quads(results, verdicts, result_graph)),
+        "results": union_of(result_quads(results, result_graph), result_path_quads(results, result_graph),
+                            report_quads(results, verdicts, result_graph)),
         "jobs": union_of(reports, attach_results(jobs, outcomes, run)),
         "statuses": union_of(_changes(due, BUSY, now, 1), _changes(due, final, now, 2)),
     }
