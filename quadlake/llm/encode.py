@@ -1,8 +1,8 @@
 """Exact token ids of whole texts, with the pre-tokens seen so far kept per worker.
 
-A text is cut before each run of ASCII white space that follows other characters, and
-between letters or digits and ASCII punctuation. No pre-token spans such a place, so the
-pieces can be encoded one by one and repeated pieces are looked up. New pieces go to the tokenizers library in one string, held
+A text is cut before each run of ASCII white space that follows characters that are no white
+space of any kind, and between letters or digits and ASCII punctuation. No pre-token spans such
+a place, so the pieces can be encoded one by one and repeated pieces are looked up. New pieces go to the tokenizers library in one string, held
 apart by a special token, which the library splits off before anything else.
 """
 
@@ -30,7 +30,7 @@ _MARK = r"!-&(-/:-@\[-`{-~"
 _RUN = rf"[^\W_]+(?=[{SPACE}{_MARK}]|\Z)|[{_MARK}]+(?=[^\W_]|[{SPACE}]|\Z)|[^{SPACE}]+"
 _SPACED = re.compile(f"[{SPACE}]*(?:{_RUN})|[{SPACE}]+")
 _WORDS = re.compile(_RUN)
-_CUT = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
+_CUT = re.compile(f"(?<=[^{SPACE}{_ODD_SPACE.pattern[1:-1]}])[{SPACE}]")
 
 # Bounds of memory, not of results: pieces kept per worker, the longest piece kept, and
 # the characters of a text taken at a time.
@@ -104,9 +104,17 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
+        pieces = self._pattern.findall(text)
         if not self._drops_space and _ODD_SPACE.search(text):
-            return [text]
-        return self._pattern.findall(text)
+            # ASCII white space after odd white space may belong to the same run.
+            joined: list[list[str]] = []
+            for piece in pieces:
+                if joined and _ODD_SPACE.match(joined[-1][-1][-1]):
+                    joined[-1].append(piece)
+                else:
+                    joined.append([piece])
+            return ["".join(parts) for parts in joined]
+        return pieces
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept yet; those that are too long or hold special
@@ -140,7 +148,7 @@ class Encoder:
         start = 0
         while len(text) - start > SLICE_CHARS:
             cut = _CUT.search(text, start + SLICE_CHARS)
-            if cut is None or not self._drops_space and _ODD_SPACE.search(text):
+            if cut is None:
                 break
             yield text[start:cut.start()]
             start = cut.start()

@@ -101,8 +101,7 @@ class TokenTree:
 
 def build_tree(text: str, ids_of: Encoder) -> TokenTree:
     leaves = leaves_of(ids_of.pieces(text))
-    # Without ASCII white space kept in front, the pieces do not add up to the text, and
-    # odd white space may join pieces: such a text is one leaf.
+    # Tokenizers that drop white space have pieces that do not add up to the text: one leaf.
     if sum(map(len, leaves)) != len(text):
         leaves = [text]
     return TokenTree.build([len(x) for x in leaves], [len(x) for x in ids_of.encode_all(leaves)])
