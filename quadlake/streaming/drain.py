@@ -85,6 +85,8 @@ def drain(jobs: DataFrame, quads: DataFrame, shapes: list[Shape], run: str, now:
     results = cut(validate(checked, shapes))
     verdicts = conforms(checked, results)
     result_graph = F.concat(F.lit(RESULT_GRAPH_PREFIX), key_hash(F.lit(run), "g"))
+    # Only paths of more than one predicate have a structure to write.
+    structure = [result_path_quads(results, result_graph)] if any(s.path and not s.predicate for s in shapes) else []
     texts = verdicts.join(report_text(results, verdicts), "g").select(
         F.col("g").alias("data_graph"), F.col("conforms").alias("success"), "text",
         result_graph.alias("result_graph"))
@@ -104,8 +106,7 @@ def drain(jobs: DataFrame, quads: DataFrame, shapes: list[Shape], run: str, now:
     final = F.when(F.col("data_graph").isNull(), FAILED).otherwise(SUCCESS)
     return {
         "reports": union_of(coverage_quads, record_quads(runs), summaries),
-        "results": union_of(result_quads(results, result_graph), result_path_quads(results, result_graph),
-                            report_quads(results, verdicts, result_graph)),
+        "results": union_of(result_quads(results, result_graph), *structure, report_quads(results, verdicts, result_graph)),
         "jobs": union_of(reports, attach_results(jobs, outcomes, run)),
         "statuses": union_of(_changes(due, BUSY, now, 1), _changes(due, final, now, 2)),
     }
