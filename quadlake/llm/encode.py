@@ -154,6 +154,14 @@ class Encoder:
             start = cut.start()
         yield text[start:]
 
+    def piece_counts(self, pieces: list[str]) -> list[int]:
+        """The number of ids of each piece."""
+        apart = self._learn(pieces)
+        cache, size = self._cache, self.dtype.itemsize
+        if not apart:
+            return [len(cache[p]) // size for p in pieces]
+        return [len(apart[p] if p in apart else cache[p]) // size for p in pieces]
+
     def encode_group(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.pieces(t) for t in texts]
         apart = self._learn(itertools.chain.from_iterable(parts))

@@ -39,15 +39,25 @@ def redactions(text: str) -> list[Edit]:
     return [(m.start(), m.end(), REDACTIONS[m.lastindex - 1][1]) for m in _REDACTION.finditer(text)]
 
 
-def leaves_of(pieces: list[str], leaf_chars: int = LEAF_CHARS) -> list[str]:
-    out, held, size = [], [], 0
-    for piece in pieces:
-        held.append(piece)
-        size += len(piece)
+def leaves_of(text: str, ids_of: Encoder, leaf_chars: int = LEAF_CHARS) -> tuple[list[int], list[int]]:
+    """The characters and the tokens of the leaves of a text, which has one leaf at least."""
+    pieces = ids_of.pieces(text)
+    lengths = [len(p) for p in pieces]
+    # Tokenizers that drop white space have pieces that do not add up to the text: one leaf.
+    if sum(lengths) != len(text):
+        return [len(text)], [len(ids_of.encode(text))]
+    chars, tokens, size, count = [], [], 0, 0
+    for length, n in zip(lengths, ids_of.piece_counts(pieces)):
+        size += length
+        count += n
         if size >= leaf_chars:
-            out.append("".join(held))
-            held, size = [], 0
-    return [*out, "".join(held)] if held or not out else out
+            chars.append(size)
+            tokens.append(count)
+            size = count = 0
+    if size or not chars:
+        chars.append(size)
+        tokens.append(count)
+    return chars, tokens
 
 
 class TokenTree:
@@ -100,11 +110,7 @@ class TokenTree:
 
 
 def build_tree(text: str, ids_of: Encoder) -> TokenTree:
-    leaves = leaves_of(ids_of.pieces(text))
-    # Tokenizers that drop white space have pieces that do not add up to the text: one leaf.
-    if sum(map(len, leaves)) != len(text):
-        leaves = [text]
-    return TokenTree.build([len(x) for x in leaves], [len(x) for x in ids_of.encode_all(leaves)])
+    return TokenTree.build(*leaves_of(text, ids_of))
 
 
 def apply(tree: TokenTree, text: str, edits: list[Edit], ids_of: Encoder) -> tuple[str, int]:
@@ -138,14 +144,14 @@ def apply(tree: TokenTree, text: str, edits: list[Edit], ids_of: Encoder) -> tup
         out += [text[done:old_start], region]
         done = old_end
         again += len(region)
-        leaves = leaves_of(ids_of.pieces(region))
-        if sum(map(len, leaves)) != len(region):
-            leaves = [region]
+        chars, tokens = leaves_of(region, ids_of)
         room = last - first + 1
-        leaves[room - 1:] = ["".join(leaves[room - 1:])] if len(leaves) >= room else []
-        leaves += [""] * (room - len(leaves))
-        for leaf, (part, ids) in enumerate(zip(leaves, ids_of.encode_all(leaves)), first):
-            tree.set(leaf, len(part), len(ids))
+        # More leaves than there is room for end in one; fewer leave empty ones.
+        for sums in (chars, tokens):
+            sums[room - 1:] = [sum(sums[room - 1:])]
+            sums += [0] * (room - len(sums))
+        for leaf, (size, count) in enumerate(zip(chars, tokens), first):
+            tree.set(leaf, size, count)
         shift += len(region) - length
         k = end
     return "".join([*out, text[done:]]), again
