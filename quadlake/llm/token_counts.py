@@ -12,6 +12,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,12 +32,23 @@ REDACTIONS = [
     (r"\+?\d[\d ().-]{7,30}\d", "<PHONE>"),
     (r"\b[0-9A-Fa-f]{32,128}\b", "<KEY>"),
 ]
-_REDACTION = re.compile("|".join(f"({p})" for p, _ in REDACTIONS))
+
+
+@functools.cache
+def _redaction(at: bool, digit: bool) -> tuple[re.Pattern, list[str]]:
+    """The patterns that can match a text with or without an @ and a digit, as one."""
+    possible = (at, digit, digit, True)
+    found = [x for x, able in zip(REDACTIONS, possible, strict=True) if able]
+    return re.compile("|".join(f"({p})" for p, _ in found)), [r for _, r in found]
+
+
+_DIGIT = re.compile(r"\d")
 
 
 def redactions(text: str) -> list[Edit]:
     """Edits (start, end, replacement) that mask addresses, numbers and keys."""
-    return [(m.start(), m.end(), REDACTIONS[m.lastindex - 1][1]) for m in _REDACTION.finditer(text)]
+    pattern, masks = _redaction("@" in text, _DIGIT.search(text) is not None)
+    return [(m.start(), m.end(), masks[m.lastindex - 1]) for m in pattern.finditer(text)]
 
 
 def leaves_of(text: str, ids_of: Encoder, leaf_chars: int = LEAF_CHARS) -> tuple[list[int], list[int]]:
