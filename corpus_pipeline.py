@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadlake.llm.exact_dedup import drop_copies
 from quadlake.llm.jaccard import drop_near_copies
-from quadlake.llm.mixing import ORDER, mix, mixed
+from quadlake.llm.mixing import ORDER, mix
 from quadlake.llm.packing import pack_documents
 from quadlake.llm.tables import table
 from quadlake.llm.toxicity import drop_toxic
@@ -38,12 +38,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs)
+    """The documents of the mix with their places in its order, which the next stage reads."""
+    return mix(docs, most=None).where("__in_mix").select(*docs.columns, *ORDER)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # All documents are in the mix, so what was kept of it has the same slots again.
-    return pack_documents(mix(docs, most=None), order=ORDER)
+    return pack_documents(docs, order=ORDER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
