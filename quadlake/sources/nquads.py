@@ -37,16 +37,25 @@ def format_lines(quads: DataFrame) -> DataFrame:
     return quads.select(F.concat_ws(" ", *parts).alias("line"))
 
 
+def _group(name: str) -> Column:
+    return F.get("m", F.lit(_GROUPS.index(name) + 1))
+
+
 def _present(group: str) -> Column:
-    return F.col(f"m.{group}") != ""
+    return _group(group) != ""
 
 
 def _matched(lines: DataFrame) -> DataFrame:
-    """line, ok and the groups of the pattern as the struct m."""
-    ok = F.col("line").rlike(_LINE)
-    parts = [F.regexp_extract("line", _LINE, i + 1).alias(name) for i, name in enumerate(_GROUPS)]
-    return (lines.where(~F.col("line").rlike(_IGNORED))
-            .withColumn("ok", ok).withColumn("m", F.struct(*parts)))
+    """line, ok and the groups of the pattern as the array m, with one match of each line.
+
+    The match is replaced by its groups, each after a line feed: no group can hold one, and
+    no statement starts with one. The generator keeps later filters and projections from
+    repeating the match for each group they look at.
+    """
+    groups = "".join(f"\n${i + 1}" for i in range(len(_GROUPS))) + "\n"
+    found = lines.where(~F.col("line").rlike(_IGNORED)).withColumn(
+        "m", F.explode(F.array(F.split(F.regexp_replace("line", _LINE, groups), "\n", -1))))
+    return found.withColumn("ok", (F.get("m", F.lit(0)) == "") & ~F.startswith("line", F.lit("\n")))
 
 
 def parse_lines(lines: DataFrame, graph: str | None = None, scope: Column | str = "") -> DataFrame:
@@ -57,29 +66,29 @@ def parse_lines(lines: DataFrame, graph: str | None = None, scope: Column | str
     so the same label in two files stays two nodes.
     """
     found = _matched(lines).where("ok")
-    g = F.when(_present("g_iri"), unescape(F.col("m.g_iri")))
-    g = g.when(_present("g_label"), F.concat(F.lit("_:"), "m.g_label"))
+    g = F.when(_present("g_iri"), unescape(_group("g_iri")))
+    g = g.when(_present("g_label"), F.concat(F.lit("_:"), _group("g_label")))
     g = g.otherwise(F.lit(graph)) if graph is not None else g
     scope = F.lit(scope) if isinstance(scope, str) else scope
     found = found.withColumn("g", g).withColumn("scope", scope).where("g IS NOT NULL")
 
     def label(name: str) -> Column:
         tag = F.substring(F.sha2(F.concat_ws(chr(31), "g", "scope"), 256), 1, 16)
-        return F.when(F.col("scope") == "", F.col(f"m.{name}")).otherwise(
-            F.concat(F.lit("b"), tag, F.lit("-"), F.col(f"m.{name}")))
+        return F.when(F.col("scope") == "", _group(name)).otherwise(
+            F.concat(F.lit("b"), tag, F.lit("-"), _group(name)))
 
     literal = ~(_present("o_iri") | _present("o_label"))
-    lang = F.lower("m.lang")
+    lang = F.lower(_group("lang"))
     return found.select(
         "g",
-        F.when(_present("s_label"), label("s_label")).otherwise(unescape(F.col("m.s_iri"))).alias("s"),
+        F.when(_present("s_label"), label("s_label")).otherwise(unescape(_group("s_iri"))).alias("s"),
         F.when(_present("s_label"), BNODE).otherwise(IRI).alias("s_kind"),
-        unescape(F.col("m.p")).alias("p"),
-        F.when(_present("o_iri"), unescape(F.col("m.o_iri")))
-        .when(_present("o_label"), label("o_label")).otherwise(unescape(F.col("m.o_text"))).alias("o"),
+        unescape(_group("p")).alias("p"),
+        F.when(_present("o_iri"), unescape(_group("o_iri")))
+        .when(_present("o_label"), label("o_label")).otherwise(unescape(_group("o_text"))).alias("o"),
         F.when(_present("o_iri"), IRI).when(_present("o_label"), BNODE).otherwise(LITERAL).alias("o_kind"),
         F.when(~literal, "").when(lang != "", LANG_STRING)
-        .when(_present("dt"), unescape(F.col("m.dt"))).otherwise(XSD_STRING).alias("o_dt"),
+        .when(_present("dt"), unescape(_group("dt"))).otherwise(XSD_STRING).alias("o_dt"),
         F.when(literal, lang).otherwise("").alias("o_lang"),
     ).select(*QUAD)
 
