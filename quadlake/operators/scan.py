@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadlake.functions.terms import kind_rank, or_undef, skolem
-from quadlake.quads import FREE, QUAD, Term, is_object, is_subject
+from quadlake.quads import FREE, QUAD, Term, is_object, is_subject, once
 from quadlake.session import checkpoint_folder, cut, local_frame
 from quadlake.vocab import BNODE, IRI, LITERAL, SKOLEM_BASE
 
@@ -24,7 +24,7 @@ def in_graph(quads: DataFrame, g: str) -> DataFrame:
 
 def default_graph(quads: DataFrame) -> DataFrame:
     """The union of all graphs, each triple once."""
-    return quads.drop("g").distinct()
+    return once(quads.drop("g"))
 
 
 def _bound(quads: DataFrame, s, p, o) -> DataFrame:
