@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadlake.quads import QUAD, QUAD_SCHEMA, as_set
+from quadlake.quads import QUAD, QUAD_SCHEMA, as_set, sorted_once
 from quadlake.session import cut
 from quadlake.sources.store import MAX_FILE_ROWS
 
@@ -40,9 +40,8 @@ def _placed(quads: DataFrame, n: int) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, mode: str) -> None:
-    """rows: QUAD and _PLACE."""
-    order = ["bucket", "g", "p", "s", "o"]
-    (rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).options(**_BLOOM)
+    """Each of the rows once; they have QUAD and _PLACE."""
+    (sorted_once(rows, ["bucket", "g", "p", "s", "o"]).write.mode(mode).options(**_BLOOM)
      .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_FILE_ROWS)
      .partitionBy(*_PLACE).parquet(path))
 
