@@ -24,6 +24,7 @@ from quadlake.sources.store import MAX_FILE_ROWS
 
 BUCKETS = 64
 _PLACE = ["buckets", "bucket"]
+_ORDER = ["bucket", "g", "p", "s", "o"]
 _SCHEMA = T.StructType([*QUAD_SCHEMA.fields, *[T.StructField(c, T.IntegerType()) for c in _PLACE]])
 # Different subjects or objects a Bloom filter of a row group is laid out for.
 _DISTINCT = 200_000
@@ -40,8 +41,8 @@ def _placed(quads: DataFrame, n: int) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, mode: str) -> None:
-    """Each of the rows once; they have QUAD and _PLACE."""
-    (sorted_once(rows, ["bucket", "g", "p", "s", "o"]).write.mode(mode).options(**_BLOOM)
+    """rows: QUAD and _PLACE, in parts sorted by _ORDER."""
+    (rows.write.mode(mode).options(**_BLOOM)
      .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", MAX_FILE_ROWS)
      .partitionBy(*_PLACE).parquet(path))
 
@@ -50,7 +51,7 @@ def create_buckets(quads: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write a new store, each quad once."""
     if buckets < 1:
         raise ValueError("a store has at least one bucket")
-    _write(cut(_placed(as_set(quads), buckets)), path, "errorifexists")
+    _write(sorted_once(_placed(quads, buckets), _ORDER), path, "errorifexists")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +96,7 @@ def apply_changes(spark: SparkSession, path: str, removed: DataFrame, added: Dat
     kept = stored.where(F.col("bucket").isin(*touched)).join(real.where("not keep").select(*QUAD), QUAD, "left_anti")
     fresh = cut(kept.select(*QUAD, *_PLACE).unionByName(real.where("keep").select(*QUAD, *_PLACE)))
     filled = {r.bucket for r in fresh.select("bucket").distinct().collect()}
-    _write(fresh, path, "overwrite")
+    _write(fresh.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER), path, "overwrite")
     # An overwrite leaves alone the folders that get no rows.
     for bucket in set(touched) - filled:
         _remove(spark, f"{path.rstrip('/')}/buckets={n}/bucket={bucket}")

@@ -55,6 +55,16 @@ class StandingCoverage:
         return [F.coalesce(F.bit_or(F.when((F.col("word") == k) & (F.col(counts) > 0), F.col("mark"))), zero).alias(w)
                 for k, w in enumerate(self.words)]
 
+    def _moves(self, stored: DataFrame, delta: DataFrame) -> DataFrame:
+        """(g, s, s_kind, old, new): the bits of each subject before and after. One shuffle on the
+        subject serves its counts and its bits."""
+        zero, one = (F.lit(n).cast("bigint") for n in (0, 1))
+        both = (stored.withColumn("more", zero).unionByName(delta.select(*_KEY, "word", "mark", zero.alias("n"), F.col("n").alias("more")))
+                .repartition(*_KEY).groupBy(*_KEY, "word", "mark")
+                .agg(F.sum("n").alias("before"), F.sum(F.col("n") + F.col("more")).alias("after")))
+        return both.groupBy(*_KEY).agg(F.struct(*self._bits("before"), (-one).alias("n")).alias("old"),
+                                       F.struct(*self._bits("after"), one.alias("n")).alias("new"))
+
     def change(self, batch: int, added: DataFrame, removed: DataFrame | None = None) -> None:
         """Fold in the changes of a batch: added quads that were not there, removed ones that
         were (``effective_changes`` finds them). A committed batch is not folded in again."""
@@ -68,12 +78,7 @@ class StandingCoverage:
         touched = delta.select(*_KEY).distinct()
         # Only the touched subjects' counts are added up.
         stored = self.journal.changes("subjects", batch).join(touched, _KEY, "left_semi")
-        zero = F.lit(0).cast("bigint")
-        both = (stored.withColumn("more", zero).unionByName(delta.select(*_KEY, "word", "mark", zero.alias("n"), F.col("n").alias("more")))
-                .groupBy(*_KEY, "word", "mark").agg(F.sum("n").alias("before"), F.sum(F.col("n") + F.col("more")).alias("after")))
-        one = F.lit(1).cast("bigint")
-        moves = both.groupBy(*_KEY).agg(F.struct(*self._bits("before"), (-one).alias("n")).alias("old"),
-                                        F.struct(*self._bits("after"), one.alias("n")).alias("new"))
+        moves = self._moves(stored, delta)
         moved = moves.select("g", F.inline(F.array("old", "new")))
         some = F.lit(False)
         for w in self.words:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quadlake.quads import QUAD, sorted_once
 from quadlake.sources import derived
+from quadlake.streaming.standing import StandingCoverage
 
 
 def test_the_set_takes_no_shuffle_of_its_own(spark):
@@ -22,3 +23,12 @@ def test_orders_are_read_once(spark):
     plan = quads._jdf.queryExecution().executedPlan().toString()
     assert plan.count("orders.parquet") == 1
     assert quads.columns == QUAD
+
+
+def test_counts_and_bits_of_a_subject_share_a_shuffle(spark, tmp_path):
+    standing = StandingCoverage(spark, str(tmp_path / "standing"))
+    counts = spark.range(9).selectExpr("'g' AS g", "cast(id % 3 AS string) AS s", "'iri' AS s_kind", "0 AS word",
+                                       "id + 1 AS mark", "1L AS n")
+    moves = standing._moves(counts, counts)
+    assert moves._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert moves.count() == 3
