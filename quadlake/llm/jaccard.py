@@ -34,6 +34,7 @@ from __future__ import annotations
 import bisect
 import functools
 import itertools
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ from quadlake.llm.graph import components
 from quadlake.llm.screen import screened
 from quadlake.llm.tables import map_rows
 from quadlake.llm.words import WordHashes, mix, shingles
-from quadlake.session import cut
+from quadlake.session import checkpoint_folder, cut, remove
 
 N = 4
 PERCENT = 85
@@ -59,6 +60,8 @@ BLOCK_GRAMS = 1_000_000
 MAP_BITS = 2
 # Sets that are held against the maps at once, in blocks.
 CHUNK_BLOCKS = 8
+# Places found for them that are kept before they are sent.
+HELD_PLACES = 1_000_000
 # Bytes of a key that are sent, beside its bucket: sets of equal short keys share a family,
 # which does no harm.
 KEY_BYTES = 6
@@ -378,13 +381,20 @@ def joining_pairs(grams: list[np.ndarray], labels: list, probe: list[bool], perc
 
 def _within(blocks: DataFrame, n: int, percent: int, back: bool) -> DataFrame:
     """Links of each block of (family, block, part, sig, label, probe, mapped, text), and with no
-    ends (family, block, bits): the bit map of each block that is to be mapped."""
+    ends (family, block, bits): the bit map of each block that is to be mapped.
+
+    A row without a text only says the label of a set of its block."""
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
         for (family, block, _), group in itertools.groupby(rows, key=lambda r: r[:3]):
-            rows_of = list(group)
+            rows_of, named = [], {}
+            for r in group:
+                if r[7] is None:
+                    named[r[3]] = r[4]
+                else:
+                    rows_of.append(r)
             sigs = [r[3] for r in rows_of]
             grams = [gram_set(r[7], n) for r in rows_of]
-            for a, b in joining_pairs(grams, [r[4] for r in rows_of], [r[5] for r in rows_of], percent, back):
+            for a, b in joining_pairs(grams, [r[4] or named.get(r[3], r[3]) for r in rows_of], [r[5] for r in rows_of], percent, back):
                 yield sigs[a], sigs[b], None, None, None
             if rows_of[0][6]:
                 yield None, None, family, block, bit_map(grams)
@@ -396,12 +406,17 @@ def _within(blocks: DataFrame, n: int, percent: int, back: bool) -> DataFrame:
     return map_rows(ordered, run, "src binary, dst binary, family long, block int, bits binary", 256)
 
 
+def places_of(grams: np.ndarray) -> np.ndarray:
+    """32 bits of each n-gram, whose highest ones are its place in a bit map."""
+    return (mix(grams) >> np.uint64(32)).astype(np.uint32)
+
+
 def bit_map(grams: list[np.ndarray]) -> bytes:
-    """Bits of the n-grams of some sets; their number is a power of two."""
+    """Bits of the n-grams of some sets; their number is a power of two, 2 ** 32 at most."""
     all_grams = np.unique(np.concatenate(grams))
-    size = max(3, (MAP_BITS * len(all_grams) - 1).bit_length())
+    size = min(32, max(3, (MAP_BITS * len(all_grams) - 1).bit_length()))
     bits = np.zeros(1 << size, bool)
-    bits[mix(all_grams) >> np.uint64(64 - size)] = True
+    bits[places_of(all_grams) >> np.uint32(32 - size)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -426,74 +441,113 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     held = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one"))).select(*members, "text")
     if not signed.where("sig is not null").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         held = held.groupBy(*members).agg(F.first("text").alias("text"))
-    held = cut(held)
-    plain = held.select("family", "block", F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
-                        F.lit(True).alias("probe"), (F.col("blocks") > 1).alias("mapped"), "text")
-    found = cut(_within(plain, n, percent, back=False))
+    # Tables that only the steps below read; they go when the links are written.
+    folder = f"{checkpoint_folder(docs.sparkSession).rstrip('/')}/near-{uuid.uuid4()}"
+    joined = _held_links(cut(held, folder), folder, n, percent, block_grams)
+    remove(docs.sparkSession, folder)
+    return signed, joined
+
+
+def _held_links(held: DataFrame, folder: str, n: int, percent: int, block_grams: int) -> DataFrame:
+    """Written links (src, dst) that connect the similar sets of (sig, n, family, blocks, block, text)."""
+    unlabelled, mapped = F.lit(None).cast("binary").alias("label"), (F.col("blocks") > 1).alias("mapped")
+    plain = held.select("family", "block", F.lit(0).alias("part"), "sig", unlabelled, F.lit(True).alias("probe"), mapped, "text")
+    found = cut(_within(plain, n, percent, back=False), folder)
     joined = found.where("src is not null").select("src", "dst")
     large = held.where("blocks > 1")
     if large.isEmpty():
-        return signed, joined
+        return cut(joined)
     # One member of the largest component of each block, all of a family in one block of
-    # representatives (a row for each block).
-    labelled = _labelled(large, components(joined))
+    # representatives (a row for each block). Labels are joined to sets without their texts.
+    sets = large.drop("text")
+    labelled = _labelled(sets, components(joined))
     tops = labelled.groupBy("family", "block", "label").agg(F.count("*").alias("size"), F.min("sig").alias("one"))
     top = tops.groupBy("family", "block").agg(F.max(F.struct("size", "one")).alias("top"))
-    chosen = cut(top.select("family", F.col("top.one").alias("sig")))
+    chosen = cut(top.select("family", F.col("top.one").alias("sig")), folder)
     heads = large.join(chosen, ["family", "sig"], "left_semi").select(
-        "family", F.lit(0).alias("block"), F.lit(0).alias("part"), "sig", F.lit(None).cast("binary").alias("label"),
+        "family", F.lit(0).alias("block"), F.lit(0).alias("part"), "sig", unlabelled,
         F.lit(True).alias("probe"), F.lit(False).alias("mapped"), "text")
-    joined = cut(joined.unionByName(_within(heads, n, percent, back=False).select("src", "dst")))
-    labelled = cut(_labelled(large, components(joined)))
+    joined = cut(joined.unionByName(_within(heads, n, percent, back=False).select("src", "dst")), folder)
+    labelled = cut(_labelled(sets, components(joined)), folder)
     # What is outside a family's largest component meets the blocks that may hold similar sets.
     main = cut(labelled.groupBy("family", "label").count().groupBy("family")
-               .agg(F.max(F.struct("count", "label")).alias("main")).select("family", F.col("main.label").alias("main")))
+               .agg(F.max(F.struct("count", "label")).alias("main")).select("family", F.col("main.label").alias("main")), folder)
     rest = labelled.join(main, "family").where("label <> main").drop("main")
     maps = found.where("src is null").select("family", "block", "bits")
-    guests = cut(_near_blocks(maps, rest, n, percent, block_grams))
-    parts = cut(guests.groupBy("family", "block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")))
-    sent = cut(guests.join(parts, ["family", "block"]).select(
-        "family", "block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int").alias("part"), "sig"))
-    visits = rest.select("sig", "label", "text").join(sent, "sig").select(
-        "family", "block", "part", "sig", "label", F.lit(True).alias("probe"), F.lit(False).alias("mapped"), "text")
-    hosts = labelled.join(parts, ["family", "block"]).select(
-        "family", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig", "label",
-        F.lit(False).alias("probe"), F.lit(False).alias("mapped"), "text")
-    return signed, cut(joined.unionByName(_within(visits.unionByName(hosts), n, percent, back=True).select("src", "dst")))
-
-
-def _near_blocks(drawn: DataFrame, rest: DataFrame, n: int, percent: int, block_grams: int) -> DataFrame:
-    """(family, block, sig, n): other blocks that hold enough of a set's n-grams for a similar one."""
+    guests = cut(_near_blocks(maps, rest, large, folder, n, percent, block_grams), folder)
+    visited = guests.select("family", F.explode("visits").alias("block"), "sig", "n", "label", "text")
+    parts = cut(visited.groupBy("family", "block").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts")), folder)
+    visits = visited.join(parts, ["family", "block"]).select(
+        "family", "block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("parts")).cast("int").alias("part"), "sig", "label",
+        F.lit(True).alias("probe"), F.lit(False).alias("mapped"), "text")
+    # The labels of the hosts go to their blocks as rows of their own; without one a set is its own.
+    named = labelled.where("label <> sig").select("family", "block", "sig", "label", F.lit(None).cast("string").alias("text"))
+    hosts = large.select("family", "block", "sig", unlabelled, "text").unionByName(named).join(parts, ["family", "block"]).select(
+        "family", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sig",
+        F.when(F.col("text").isNull(), F.col("label")).alias("label"), F.lit(False).alias("probe"), F.lit(False).alias("mapped"), "text")
+    return cut(joined.unionByName(_within(visits.unionByName(hosts), n, percent, back=True).select("src", "dst")))
+
+
+def _near_blocks(drawn: DataFrame, rest: DataFrame, large: DataFrame, folder: str, n: int, percent: int,
+                 block_grams: int) -> DataFrame:
+    """(family, sig, n, label, text, visits): the sets of rest that other blocks hold enough n-grams of
+    for a similar one, with these blocks; a set of very many has several rows."""
     def hold(rows: Iterator[tuple]) -> Iterable[tuple]:
         for (family, _), group in itertools.groupby(rows, key=lambda r: r[:2]):
-            sigs, own, held, flat = [], [], [], None
-            for *_, kind, block, sig, text, bits in group:
+            asked, kept, held, flat = {}, [], [], None
+            places, size = [], 0
+
+            def send() -> Iterator[tuple]:
+                sets, blocks = (np.concatenate(x) for x in zip(*places))
+                order = np.argsort(sets, kind="stable")
+                sets, blocks = sets[order], blocks[order]
+                starts = np.flatnonzero(np.diff(sets, prepend=-1))
+                for k, at in zip(sets[starts].tolist(), np.split(blocks, starts[1:])):
+                    sig, text = kept[k]
+                    yield family, sig, int(sizes[k]), asked[sig][1], text, at.tolist()
+
+            for *_, kind, block, sig, label, text, bits in group:
                 if kind == 0:
-                    sigs.append(sig)
-                    own.append(block)
-                    held.append(gram_set(text, n))
+                    asked[sig] = block, label
+                    continue
+                if kind == 1:
+                    if sig in asked:
+                        kept.append((sig, text))
+                        held.append(places_of(gram_set(text, n)))
+                    continue
+                if not kept:
                     continue
                 if flat is None:
                     sizes = np.array([len(g) for g in held])
                     starts = np.cumsum(sizes) - sizes
-                    flat, own, held = mix(np.concatenate(held)), np.array(own), []
+                    flat, own, held = np.concatenate(held), np.array([asked[sig][0] for sig, _ in kept]), []
                 seen = np.unpackbits(np.frombuffer(bits, np.uint8))
-                inside = seen[flat >> np.uint64(64 - (len(seen) - 1).bit_length())]
+                inside = seen[flat >> np.uint32(32 - (len(seen) - 1).bit_length())]
                 hits = np.add.reduceat(inside, starts, dtype=np.int64)
-                for k in np.flatnonzero((100 * hits >= percent * sizes) & (own != block)).tolist():
-                    yield family, block, sigs[k], int(sizes[k])
+                near = np.flatnonzero((100 * hits >= percent * sizes) & (own != block))
+                if len(near):
+                    places.append((near, np.full(len(near), block)))
+                    size += len(near)
+                if size > HELD_PLACES:
+                    yield from send()
+                    places, size = [], 0
+            if places:
+                yield from send()
 
     tasks = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = cut(rest.groupBy("family").agg(F.ceil(F.sum("n") / (CHUNK_BLOCKS * block_grams)).cast("int").alias("chunks")))
-    sets = rest.join(chunks, "family").select(
-        "family", F.pmod(F.xxhash64("sig", F.lit(2)), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"),
-        "block", "sig", "text", F.lit(None).cast("binary").alias("bits"))
+    chunks = cut(rest.groupBy("family").agg(F.ceil(F.sum("n") / (CHUNK_BLOCKS * block_grams)).cast("int").alias("chunks")), folder)
+    no_label, no_text, no_bits = (F.lit(None).cast(t).alias(c) for t, c in (("binary", "label"), ("string", "text"), ("binary", "bits")))
+    chunk = F.pmod(F.xxhash64("sig", F.lit(2)), F.col("chunks")).cast("int").alias("chunk")
+    # Texts go to the chunk of their set, and what is asked of the set goes there before them.
+    asked = rest.join(chunks, "family").select("family", chunk, F.lit(0).alias("kind"), "block", "sig", "label", no_text, no_bits)
+    texts = large.join(chunks, "family").select("family", chunk, F.lit(1).alias("kind"), "block", "sig", no_label, "text", no_bits)
     maps = drawn.join(chunks, "family").select(
-        "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"),
-        "block", F.lit(None).cast("binary").alias("sig"), F.lit(None).cast("string").alias("text"), "bits")
+        "family", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(2).alias("kind"),
+        "block", F.lit(None).cast("binary").alias("sig"), no_label, no_text, "bits")
     # The sets of a chunk are held, the maps pass by one after the other.
-    dealt = sets.unionByName(maps).repartition(tasks, "family", "chunk").sortWithinPartitions("family", "chunk", "kind")
-    return map_rows(dealt, hold, "family long, block int, sig binary, n long")
+    dealt = (asked.unionByName(texts).unionByName(maps).repartition(tasks, "family", "chunk")
+             .sortWithinPartitions("family", "chunk", "kind"))
+    return map_rows(dealt, hold, "family long, sig binary, n long, label binary, text string, visits array<int>", 256)
 
 
 def _labelled(large: DataFrame, labels: DataFrame) -> DataFrame:

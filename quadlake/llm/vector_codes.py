@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quadlake.llm.tables import arrow_schema, parts
 from quadlake.llm.vectors import extent, is_whole, packed, scaled, unpacked
-from quadlake.session import checkpoint_folder, cut
+from quadlake.session import checkpoint_folder, cut, remove
 
 PARTS = 4
 ENTRIES = 256
@@ -278,12 +278,6 @@ def _bounds_of(batch: pa.RecordBatch, n_parts: int) -> list[Bounds]:
                    bounds[:, (p + 1) * (b + 1) - 1]) for p in range(n_parts)]
 
 
-def remove(spark, path: str) -> None:
-    """Delete a table of intermediate rows that nothing reads any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def code_vectors(df: DataFrame, n_parts: int = PARTS, n_entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE,
                  vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> tuple[DataFrame, np.ndarray]:
     """(vec_id, label, code, error) of each whole vector, and the codebooks (part, entry, component)."""
