@@ -35,6 +35,7 @@ import bisect
 import functools
 import itertools
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -62,6 +63,8 @@ MAP_BITS = 2
 CHUNK_BLOCKS = 8
 # Places found for them that are kept before they are sent.
 HELD_PLACES = 1_000_000
+# N-grams of them that are looked up in a map at once.
+PIECE_GRAMS = 1_000_000
 # Bytes of a key that are sent, beside its bucket: sets of equal short keys share a family,
 # which does no harm.
 KEY_BYTES = 6
@@ -494,8 +497,13 @@ def _near_blocks(drawn: DataFrame, rest: DataFrame, large: DataFrame, folder: st
     for a similar one, with these blocks; a set of very many has several rows."""
     def hold(rows: Iterator[tuple]) -> Iterable[tuple]:
         for (family, _), group in itertools.groupby(rows, key=lambda r: r[:2]):
-            asked, kept, held, flat = {}, [], [], None
-            places, size = [], 0
+            asked, kept, held, sizes, own, pieces = {}, [], [], [], [], []
+            places, size, waiting = [], 0, 0
+
+            def close() -> None:
+                lengths = np.array([len(g) for g in held])
+                pieces.append((np.concatenate(held), np.cumsum(lengths) - lengths))
+                held.clear()
 
             def send() -> Iterator[tuple]:
                 sets, blocks = (np.concatenate(x) for x in zip(*places))
@@ -504,7 +512,7 @@ def _near_blocks(drawn: DataFrame, rest: DataFrame, large: DataFrame, folder: st
                 starts = np.flatnonzero(np.diff(sets, prepend=-1))
                 for k, at in zip(sets[starts].tolist(), np.split(blocks, starts[1:])):
                     sig, text = kept[k]
-                    yield family, sig, int(sizes[k]), asked[sig][1], text, at.tolist()
+                    yield family, sig, int(n_grams[k]), asked[sig][1], zlib.decompress(text).decode(), at.tolist()
 
             for *_, kind, block, sig, label, text, bits in group:
                 if kind == 0:
@@ -512,19 +520,25 @@ def _near_blocks(drawn: DataFrame, rest: DataFrame, large: DataFrame, folder: st
                     continue
                 if kind == 1:
                     if sig in asked:
-                        kept.append((sig, text))
+                        # Texts are held packed, until some are sent.
+                        kept.append((sig, zlib.compress(text.encode(), 1)))
                         held.append(places_of(gram_set(text, n)))
+                        sizes.append(len(held[-1]))
+                        own.append(asked[sig][0])
+                        waiting += sizes[-1]
+                        if waiting > PIECE_GRAMS:
+                            close()
+                            waiting = 0
                     continue
                 if not kept:
                     continue
-                if flat is None:
-                    sizes = np.array([len(g) for g in held])
-                    starts = np.cumsum(sizes) - sizes
-                    flat, own, held = np.concatenate(held), np.array([asked[sig][0] for sig, _ in kept]), []
+                if held:
+                    close()
+                n_grams, from_block = np.array(sizes), np.array(own)
                 seen = np.unpackbits(np.frombuffer(bits, np.uint8))
-                inside = seen[flat >> np.uint32(32 - (len(seen) - 1).bit_length())]
-                hits = np.add.reduceat(inside, starts, dtype=np.int64)
-                near = np.flatnonzero((100 * hits >= percent * sizes) & (own != block))
+                shift = np.uint32(32 - (len(seen) - 1).bit_length())
+                hits = np.concatenate([np.add.reduceat(seen[flat >> shift], starts, dtype=np.int64) for flat, starts in pieces])
+                near = np.flatnonzero((100 * hits >= percent * n_grams) & (from_block != block))
                 if len(near):
                     places.append((near, np.full(len(near), block)))
                     size += len(near)
