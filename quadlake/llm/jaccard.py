@@ -2,6 +2,9 @@
 
 Documents are sets of word n-grams (as 64-bit hashes); equal sets are one set.
 
+0. A set that is similar to another shares at least the threshold's part of its n-grams with
+   it. All n-grams are counted once, dealt by ranges of their hashes; a set with too many that no
+   other set has is similar to none and stays out of what follows (``shared_sets``).
 1. The range of hashes is cut into m parts, m by size class. Similar sets of a class differ
    in at most D n-grams, so at least m - D parts of them are equal. A set posts a key for
    each part that is not small; it counts as small only as far as fewer than m - D of the
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import hashlib
 import itertools
 import uuid
 import zlib
@@ -233,6 +237,122 @@ def chains(docs: DataFrame, n_grams: int, n: int = N, percent: int = PERCENT) ->
     return map_rows(dealt, meet, "src long, dst long").distinct()
 
 
+def _tally(owners: np.ndarray) -> bytes:
+    """How often each number below 2 ** 16 is there: the numbers, then the counts."""
+    found, counts = np.unique(owners, return_counts=True)
+    return found.astype("<u2").tobytes() + counts.astype("<u4").tobytes()
+
+
+def _read_tally(a: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(a) // 6
+    return np.frombuffer(a[:2 * n], "<u2"), np.frombuffer(a[2 * n:], "<u4")
+
+
+def _repeated(values: np.ndarray) -> np.ndarray:
+    """Which of the values are there more than once."""
+    order = np.argsort(values)
+    same = np.zeros(len(values) + 1, bool)
+    np.equal(values[order[1:]], values[order[:-1]], out=same[1:-1])
+    out = np.empty(len(values), bool)
+    out[order] = same[1:] | same[:-1]
+    return out
+
+
+def shared_sets(docs: DataFrame, n_grams: int, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(sig): the sets that other sets share enough n-grams with, taken all together, for one to be similar.
+
+    A task holds some sets at a time. Of n-grams that several of them have it sends one mark, of
+    the others 32 bits, to the bucket of their range of hashes, where they are looked for among
+    those of all tasks; back goes how many of each set were found. N-grams that are taken for
+    each other, and copies of a set in other tasks, only let more sets pass.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = tasks * max(1, -(-n_grams // (tasks * BUCKET_GRAMS)))
+
+    def post(rows: Iterator[tuple]) -> Iterable[tuple]:
+        held, size = {}, 0
+
+        def flush() -> Iterator[tuple]:
+            # A name that follows from the sets, so that a task that is run again gives the same one.
+            names = b"".join(held)
+            chunk = hashlib.sha256(names).digest()[:16]
+            flat, sizes = np.concatenate(list(held.values())), np.array([len(g) for g in held.values()])
+            owners = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            again = _repeated(flat)
+            known = np.bincount(owners[again], minlength=len(sizes))
+            marks = np.unique(flat[again])
+            flat, owners = flat[~again], owners[~again]
+
+            def bucket_of(grams: np.ndarray) -> np.ndarray:
+                return ((grams >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.uint32 if shards > 1 << 16 else np.uint16)
+
+            buckets = bucket_of(flat)
+            order = np.argsort(buckets, kind="stable")
+            flat, owners = flat[order].astype("<u4"), owners[order]
+            bounds = np.searchsorted(buckets[order], np.arange(shards + 1))
+            at, marks = np.searchsorted(bucket_of(marks), np.arange(shards + 1)), marks.astype("<u4")
+            sent = 0
+            for k in range(shards):
+                a, b = bounds[k], bounds[k + 1]
+                if a < b or at[k] < at[k + 1]:
+                    sent += 1
+                    yield k, chunk, flat[a:b].tobytes(), _tally(owners[a:b]), marks[at[k]:at[k + 1]].tobytes(), 0
+            yield int.from_bytes(chunk[:4]) % shards, chunk, names, sizes.astype("<i8").tobytes() + known.astype("<i8").tobytes(), None, sent
+
+        for (text,) in rows:
+            grams = gram_set(text, n)
+            sig = signature(grams)
+            if sig is None or sig in held:
+                continue
+            held[sig] = grams
+            size += len(grams)
+            if size > HELD or len(held) >= 1 << 16:
+                yield from flush()
+                held, size = {}, 0
+        if held:
+            yield from flush()
+
+    def find(rows: Iterator[tuple]) -> Iterable[tuple]:
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            asked, marks = [], []
+            for _, chunk, a, b, marked, sent in group:
+                if marked is None:
+                    yield chunk, a, b, sent
+                else:
+                    asked.append((chunk, len(a) // 4, a, b))
+                    marks.append(marked)
+            if not asked:
+                continue
+            # A mark counts twice: several sets have its n-gram.
+            marked = np.frombuffer(b"".join(marks), "<u4")
+            again = _repeated(np.concatenate([np.frombuffer(b"".join(a for _, _, a, _ in asked), "<u4"), marked, marked]))
+            start = 0
+            for chunk, size, _, b in asked:
+                yield chunk, None, _tally(np.repeat(*_read_tally(b))[again[start:start + size]]), 0
+                start += size
+
+    def pick(rows: Iterator[tuple]) -> Iterable[tuple]:
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            found = names = None
+            left = 0
+            for _, a, b, sent in group:
+                if a is not None:
+                    names, (sizes, found), left = a, np.frombuffer(b, "<i8").reshape(2, -1).copy(), left + sent
+                else:
+                    numbers, counts = _read_tally(b)
+                    found[numbers] += counts
+                    left -= 1
+            # All pass where the buckets' answers are not those to this name's rows.
+            passed = np.arange(len(sizes)) if left else np.flatnonzero(100 * found >= percent * sizes)
+            yield from ((names[16 * k:16 * k + 16],) for k in passed.tolist())
+
+    posted = map_rows(docs.select("text"), post, "bucket int, chunk binary, a binary, b binary, marks binary, sent int", 16)
+    dealt = posted.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    answers = map_rows(dealt, find, "chunk binary, names binary, tally binary, sent int", 64)
+    of_chunk = answers.repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("names").isNull())
+    return map_rows(of_chunk, pick, "sig binary").distinct()
+
+
 class Forest:
     """Union-find over the numbers below n."""
 
@@ -429,7 +549,12 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
     sets = signed.where("sig is not null").groupBy("sig").agg(
         F.max("n_shingles").alias("n"), F.min(F.struct("digest", "doc_id")).alias("one"))
     n_grams = signed.agg(F.sum("n_shingles")).first()[0] or 0
-    families = components(chains(docs, n_grams, n, percent)).select("node", F.col("label").alias("family"))
+    worded = docs.where("text is not null").select("doc_id", "text")
+    sets = cut(sets.join(shared_sets(worded, n_grams, n, percent), "sig"))
+    n_grams = sets.agg(F.sum("n")).first()[0] or 0
+    # By a row's id, which may be that of other rows as well: these only make families larger.
+    worded, _ = screened(worded, "doc_id", sets.select("one.doc_id"))
+    families = components(chains(worded, n_grams, n, percent)).select("node", F.col("label").alias("family"))
     node = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     sized = cut(families.join(sets.withColumn("node", node), "node").drop("node"))
     blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
@@ -438,7 +563,7 @@ def set_links(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams:
         "sig", "n", "family", "blocks", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"),
         F.col("one.doc_id").alias("one_id"), F.col("one.digest").alias("one")))
     # One text for each set of a family, by a row's id and digest. Texts outside families stay where they are.
-    near, _ = screened(docs.where("text is not null").select("doc_id", "text"), "doc_id", chosen.select(F.col("one_id").alias("doc_id")))
+    near, _ = screened(worded, "doc_id", chosen.select(F.col("one_id").alias("doc_id")))
     texts = near.select("doc_id", text_digest(), "text")
     members = ["sig", "n", "family", "blocks", "block"]
     held = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("digest") == F.col("one"))).select(*members, "text")
