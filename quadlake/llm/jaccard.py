@@ -58,8 +58,9 @@ PERCENT = 85
 CLASS_GROWTH, MORE_PARTS = 1.15, 0.25
 # Parts below this size are left out where enough others remain.
 SMALL_PART = 4
-# Postings held in a task, and n-grams of a block: bounds of memory.
+# Postings held in a task, n-grams held to be counted, and n-grams of a block: bounds of memory.
 HELD = 2_000_000
+COUNTED = 1_000_000
 BLOCK_GRAMS = 1_000_000
 # Bits of a block's map for each n-gram, at least.
 MAP_BITS = 2
@@ -251,8 +252,9 @@ def _read_tally(a: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _repeated(values: np.ndarray) -> np.ndarray:
     """Which of the values are there more than once."""
     order = np.argsort(values)
+    values = values[order]
     same = np.zeros(len(values) + 1, bool)
-    np.equal(values[order[1:]], values[order[:-1]], out=same[1:-1])
+    np.equal(values[1:], values[:-1], out=same[1:-1])
     out = np.empty(len(values), bool)
     out[order] = same[1:] | same[:-1]
     return out
@@ -306,7 +308,7 @@ def shared_sets(docs: DataFrame, n_grams: int, n: int = N, percent: int = PERCEN
                 continue
             held[sig] = grams
             size += len(grams)
-            if size > HELD or len(held) >= 1 << 16:
+            if size > COUNTED or len(held) >= 1 << 16:
                 yield from flush()
                 held, size = {}, 0
         if held:

@@ -35,7 +35,7 @@ def _similar(texts, n, percent):
 def test_sets_that_share_enough_pass(spark, monkeypatch, held):
     texts = _texts(held)
     sets, _ = _similar(texts, 3, 70)
-    monkeypatch.setattr(jaccard, "HELD", held)
+    monkeypatch.setattr(jaccard, "COUNTED", held)
     monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 300)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {bytes(r.sig) for r in jaccard.shared_sets(docs, sum(map(len, sets)), 3, 70).collect()}
