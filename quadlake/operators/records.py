@@ -32,7 +32,7 @@ def text(s: Column, p: str, o: Column | str, dt: str = XSD_STRING) -> Triple:
     return Triple(s, p, F.lit(o) if isinstance(o, str) else o, LITERAL, dt)
 
 
-def _struct(t: Triple) -> Column:
+def struct_of(t: Triple) -> Column:
     return F.struct(
         t.s.alias("s"), F.lit(IRI).alias("s_kind"),
         (F.lit(t.p) if isinstance(t.p, str) else t.p).alias("p"), t.o.cast("string").alias("o"),
@@ -47,7 +47,7 @@ def insert(solutions: DataFrame, g: str | Column, template: Sequence[Triple]) ->
     The result may repeat a quad; writers remove that.
     """
     graph = F.lit(g) if isinstance(g, str) else g
-    rows = solutions.select(graph.alias("g"), F.inline(F.array(*map(_struct, template))))
+    rows = solutions.select(graph.alias("g"), F.inline(F.array(*map(struct_of, template))))
     bound = F.col("g").isNotNull() & F.col("s").isNotNull() & F.col("p").isNotNull()
     return rows.where(bound & F.col("o").isNotNull()).select(*QUAD)
 
